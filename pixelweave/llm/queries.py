@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, quality, sharding, simhash, token_files, toxicity
+from . import decontaminate, html_text, mixing, quality, sharding, simhash, substring_dedup, token_files, toxicity, url_filter
 from .common import materialize, run_dir, table
 
 
@@ -14,6 +14,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_print().alias("fingerprint"), "component_id")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.strip_repeats(table(spark, sf_dir, "documents"), size=20).drop("kept_text")
+
+
 def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = run_dir(spark, "tokens")
     token_files.write_tokens(table(spark, sf_dir, "documents"), path, end_id=2)
@@ -25,6 +29,36 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "start", "n_words", "distance", "similarity")
+
+
+def _digits(text, digits: int = 6):
+    """A number from the first hex digits of the md5; SQL has the same."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, digits), 16, 10).cast("bigint")
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables have neither fetch days nor lists: both are made from hashes of the URLs and of their keys."""
+    pages = table(spark, sf_dir, "pages")
+    first = F.lit("2024-01-01").cast("date")
+    captures = pages.select("page_id", "url", F.date_add(first, (_digits(F.col("url")) % 360).cast("int")).alias("fetched"))
+    keys = pages.select(F.explode(url_filter.keys_of(F.col("url"))).alias("key")).distinct().withColumn("n", _digits(F.col("key"))).where("n % 5 < 2")
+    event = F.explode(F.array(*(F.struct(F.lit(a).alias("action"), d.cast("int").alias("d")) for a, d in (("add", F.col("n") % 180), ("remove", F.col("n") % 180 + 30 + F.col("n") % 60), ("add", 300 + F.col("n") % 40)))))
+    entries = keys.select("key", "n", event.alias("e")).where("e.d < 300 or n % 2 = 0").select("key", F.date_add(first, F.col("e.d")).alias("day"), "e.action")
+    return url_filter.judge(captures, entries)
+
+
+#: Target weights of the mix: by path; all else has weight 1.
+MIX_WEIGHTS = {"web": 4.0, "books": 3.0, "forum": 1.0, "news": 2.0, "web/en": 3.0, "books/de": 2.0, "web/en/src0": 2.0}
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.mix(table(spark, sf_dir, "documents"), fraction=0.6, weights=MIX_WEIGHTS, max_epochs=2)
+    return rows.select("doc_id", F.col("__domain").alias("domain"), "lang", "source", F.col("__epoch").alias("epoch"), F.col("__tokens").alias("n_tokens"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -42,5 +76,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", *quality.COUNTS[:5], quality.base_failed().alias("base_failed"), quality.verdict(cutoffs).alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_tokens, op4_sharding, op8_toxicity, op9_html_text, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_substring_dedup, op3_tokens, op4_sharding, op5_decontaminate, op6_url_filter, op7_mixing, op8_toxicity, op9_html_text, op10_quality_rules)}
 SQL: dict[str, str] = {}
