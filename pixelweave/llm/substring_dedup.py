@@ -92,7 +92,7 @@ def _words(piece: pa.RecordBatch, column: int):
 def _cut(size: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, 1, 16 << 20):
+            for piece in pieces(batch, 1, 3 << 20):
                 _, lengths, h = _words(piece, 1)
                 who, start, count, anchor, seg = segments(h, lengths, size, gram)
                 yield _collapse(anchor, seg, piece.column(0).to_numpy()[who], start, count)
