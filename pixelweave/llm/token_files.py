@@ -16,7 +16,9 @@ null ids come first. Other columns aren't written. An empty table gives an empty
 from __future__ import annotations
 
 import os
+import string
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import pieces
 
 ROW_GROUP, PAGE = 32 << 20, 256 << 10
-#: Words that a worker keeps at most.
-CACHE_WORDS = 400_000
+#: Words of each of the two generations of a worker's cache.
+CACHE_WORDS = 250_000
 SCHEMA = "doc_id bigint, shard int, local_start bigint, n_tokens bigint, tokens array<int>"
 MANIFEST = "shard int, first_id bigint, last_id bigint, documents bigint, tokens bigint, start bigint"
 
@@ -40,8 +42,30 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Byte-level vocabularies name printable bytes by their own code point and the others, in order, by 256 and on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_NAMES = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
+
+
+class Words(dict):
+    """Ids of words as little-endian 32-bit integers; words that aren't there are made, or taken from the older generation."""
+
+    def __init__(self, make, old: dict) -> None:
+        self[""] = b""
+        self.make, self.old = make, old
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.make(word, self)
+        self[word] = ids
+        return ids
+
+
 class Encoder:
-    """Ids of whole texts, word by word. separator: a special token that marks the ends of words encoded together."""
+    """Ids of whole texts, word by word. A word of Latin letters and punctuation after them is made from its two parts; a
+    run of lower-case letters goes to the vocabulary's model at once; any other word takes the tokenizer's whole way. The
+    short ways are taken only if the tokenizer gives the same ids on a probe."""
 
     _loaded: dict[int, Encoder] = {}
 
@@ -50,10 +74,35 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(content)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.special]
-        self.separator = self.special[-1] if self.special and not any(c.isspace() for c in self.special[-1]) else None
-        self.mark = self.tokenizer.token_to_id(self.separator) if self.separator else None
-        self.cache: dict[str, bytes] = {"": b""}
+        self.model = self.tokenizer.model
+        special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.marked = {t[0] for t in special}  # case and neighbours matter in special tokens
+        self.ends = "".join(c for c in string.punctuation if c not in self.marked)
+        probe = ["abcdefghij", "élève", "straße", "ñandú", "x"]
+        self.short = all(self.letters(w) == self.whole(w) == self.whole(w[0].upper() + w[1:]) for w in probe) and all(self.whole(f"{w}{c}") == self.whole(w) + self.whole(c) for w in probe for c in (*self.ends, ".)", "!!!", "%%%"))
+        self.words = Words(self.make, {})
+
+    def whole(self, word: str) -> bytes:
+        return array("i", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def letters(self, word: str) -> bytes:
+        """A run of lower-case letters: nothing is left to normalize or to split, only bytes to name."""
+        named = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_NAMES)
+        return array("i", [t.id for t in self.model.tokenize(named)]).tobytes()
+
+    def make(self, word: str, words: Words) -> bytes:
+        if self.short and self.marked.isdisjoint(word):
+            try:
+                word.isascii() or word.encode("latin-1")  # in which lower-casing is a matter of single letters
+            except UnicodeEncodeError:
+                return self.whole(word)
+            low = word.lower()
+            stem = low.rstrip(self.ends)
+            if stem.isalpha():
+                if stem == word:
+                    return self.letters(stem)
+                return words[stem] + words[low[len(stem) :]]
+        return self.whole(word)
 
     @classmethod
     def load(cls, content: str) -> Encoder:
@@ -61,31 +110,14 @@ class Encoder:
             cls._loaded[key] = cls(content)
         return cls._loaded[key]
 
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: list[str]) -> None:
-        plain = [w for w in words if not any(s in w for s in self.special)] if self.separator else []
-        if self.separator:
-            for i in range(0, len(plain), 5000):
-                part = plain[i : i + 5000]
-                ids = self._ids([self.separator.join(part)])[0]
-                cuts = np.flatnonzero(ids == self.mark)
-                raw, last = ids.tobytes(), 0
-                for w, c in zip(part, [*(4 * cuts).tolist(), len(raw)], strict=True):
-                    self.cache[w] = raw[last:c]
-                    last = c + 4
-        rest = [w for w in words if w not in self.cache]
-        self.cache.update((w, x.tobytes()) for w, x in zip(rest, self._ids(rest), strict=True))
-
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids as little-endian 32-bit integers."""
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache = {"": b""}
-        if new := set().union(*split).difference(self.cache):
-            self._learn(sorted(new))
-        return [b"".join(map(self.cache.__getitem__, words)) for words in split]
+        out = []
+        for text in texts:
+            if len(self.words) > CACHE_WORDS:
+                old, self.words = self.words, Words(self.make, self.words)
+                old.old = {}
+            out.append(b"".join(map(self.words.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))))
+        return out
 
 
 def write_tokens(docs: DataFrame, path: str, *, tokenizer: str | None = None, end_id: int | None = 2) -> None:
