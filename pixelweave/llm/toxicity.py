@@ -22,12 +22,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix, windows_hash, word_hashes
+from .common import as_bytes, materialize, mix, pieces, windows_hash, word_hashes
 
 #: Bound of the labelled sample that the model is fitted on.
 MAX_FIT = 20_000
@@ -97,25 +96,29 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def _marks(texts: pd.Series) -> pd.Series:
-    """Two least hashes of each text's 3-word shingles; near copies mostly share them."""
-    out = []
-    for t in texts:
-        h = word_hashes(t.encode().split())
-        g = windows_hash(h, min(3, len(h))) if len(h) else np.zeros(1, np.uint64)
-        out.append([int(x.min().view(np.int64)) for x in (g, mix(g + np.uint64(1)))])
-    return pd.Series(out)
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds two least hashes of each text's 3-word shingles; near copies mostly share them."""
+    for batch in batches:
+        for piece in pieces(batch, 1):
+            found = []
+            for t in as_bytes(piece.column(1)):
+                h = word_hashes(t.split())
+                g = windows_hash(h, min(3, len(h))) if len(h) else np.zeros(1, np.uint64)
+                found.append([int(x.min().view(np.int64)) for x in (g, mix(g + np.uint64(1)))])
+            m = np.array(found, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(m[:, 0]), pa.array(m[:, 1])], names=["doc_id", "text", "toxic", "a", "b"])
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, toxic) to (word, texts marked toxic, other texts) of each batch."""
+    """(text, toxic) to (word, texts marked toxic, other texts) of a few texts at a time."""
     for batch in batches:
-        by: tuple[Counter, Counter] = (Counter(), Counter())
-        for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words = set(WORD.findall(text.lower()))
-            by[y == 1].update(words | {w[:STEM] + "*" for w in words if len(w) > STEM})
-        words = list(by[0] | by[1])
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([by[1][w] for w in words], pa.int64()), pa.array([by[0][w] for w in words], pa.int64())], names=["word", "n1", "n0"])
+        for piece in pieces(batch, 0, 1 << 20):
+            by: tuple[Counter, Counter] = (Counter(), Counter())
+            for text, y in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
+                words = set(WORD.findall(text.lower()))
+                by[y == 1].update(words | {w[:STEM] + "*" for w in words if len(w) > STEM})
+            words = list(by[0].keys() | by[1].keys())
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([by[1][w] for w in words], pa.int64()), pa.array([by[0][w] for w in words], pa.int64())], names=["word", "n1", "n0"])
 
 
 def log_odds(counts: DataFrame) -> dict[str, float]:
@@ -160,22 +163,22 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> Model:
     """Words are counted on the executors; the driver gets the terms and four numbers for each of at most max_fit rows."""
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_fit)
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id").select("text", "toxic")
-    rows = materialize(rows, "toxic-sample")
+    texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic")
+    rows = materialize(texts.mapInArrow(_marked, "doc_id bigint, text string, toxic int, a bigint, b bigint"), "toxic-sample")
     # near copies would make terms of their common words: one text of each label with the same least shingle hash
-    marks = rows.select("*", F.pandas_udf(_marks, "array<bigint>")("text").alias("m")).select("text", "toxic", F.col("m")[0].alias("a"), F.col("m")[1].alias("b"))
-    apart = marks.dropDuplicates(["toxic", "a"]).dropDuplicates(["toxic", "b"])
-    counts = apart.select("text", "toxic").mapInArrow(_word_counts, "word string, n1 bigint, n0 bigint").groupBy("word").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    apart = rows.groupBy("toxic", "a").agg(F.min("doc_id").alias("doc_id"), F.min_by("b", "doc_id").alias("b")).groupBy("toxic", "b").agg(F.min("doc_id").alias("doc_id"))
+    single = rows.join(F.broadcast(apart.select("doc_id").distinct()), "doc_id").select("text", "toxic")  # at most max_fit ids
+    counts = single.mapInArrow(_word_counts, "word string, n1 bigint, n0 bigint").groupBy("word").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
     model = Model(scores=log_odds(materialize(counts, "toxic-words")))
     if not model.scores:
         return Model()
 
     def stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [model.segments(x) for x in batch.column(0).to_pylist()]
+            got = [model.segments(x.as_py()) for x in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([max((s for s, _, _ in seg), default=0.0) for seg, _, _ in got], pa.float64()), pa.array([n for _, n, _ in got], pa.int64()), batch.column(1), pa.array([h for _, _, h in got], pa.float64())], names=["best", "n", "toxic", "hits"])
 
-    found = rows.mapInArrow(stats, "best double, n bigint, toxic int, hits double").collect()
+    found = rows.select("text", "toxic").mapInArrow(stats, "best double, n bigint, toxic int, hits double").collect()
     if len({r.toxic == 1 for r in found}) < 2:
         return Model()
     return calibrate(model, [(r.best, r.n, int(r.toxic == 1), r.hits) for r in found])
