@@ -4,8 +4,8 @@ A page is a sequence of text runs and tags. Words score +1, tags score below 0,
 the article (menus, footers, sidebars, notices, adverts, forms, scripts, styles, comments) score 0 and are left out. One
 linear scan finds the contiguous region with the largest sum; its words are the main text. A tag's weight is the log of
 how much rarer it is inside the content than outside, learnt from labelled pages: pages whose markup names the content
-itself (exactly one ``article`` or ``main`` element). Tags inside that element and outside count apart. At most
-``MAX_FIT`` labelled pages, the first by a seeded hash of the id, are read for the weights.
+itself (exactly one ``article`` or ``main`` element). Tags inside that element and outside count apart. The
+weights are learnt on the first ``MAX_FIT`` pages by a hash of the id.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined in page order by one
 space. Null or empty html, and pages without words, give an empty text. Repeated rows are treated alike; markup that is
@@ -163,10 +163,12 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(pages: DataFrame, max_fit: int = MAX_FIT) -> dict[str, float]:
-    """Weights from at most max_fit pages that name their content; at most MAX_KEYS of the commonest keys reach the driver."""
-    named = pages.where(F.regexp_count("html", F.lit(r"(?i)<(article|main)\b")) == 1)
-    sample = named.select(F.xxhash64("page_id").alias("h"), "html").orderBy("h").limit(max_fit).select("html")
-    got = sample.repartition(8).mapInArrow(_counted, "key string, inside bigint, outside bigint").groupBy("key").agg(F.sum("inside").alias("a"), F.sum("outside").alias("b"))
+    """Weights from those of max_fit pages that name their content; at most MAX_KEYS of the commonest keys reach the driver."""
+    # the bound of the sample comes from the ids alone; only its pages' markup is read and counted
+    order = F.xxhash64("page_id")
+    last = pages.select(order.alias("h")).orderBy("h").limit(max_fit).agg(F.max("h").alias("h")).first().h
+    sample = pages.where(order <= (last if last is not None else 0)).select("html")
+    got = sample.mapInArrow(_counted, "key string, inside bigint, outside bigint").groupBy("key").agg(F.sum("inside").alias("a"), F.sum("outside").alias("b"))
     return weights({r.key: (r.a, r.b) for r in got.orderBy(F.desc(F.col("a") + F.col("b")), "key").limit(MAX_KEYS).collect()})
 
 
