@@ -7,8 +7,8 @@ a shortage leaves a group only when the group is used up. Per group, the level a
 ordered pass over its children's fill ratios.
 
 A leaf's budget is served in epochs: whole passes over its documents, then the token-prefix of one more pass in the seeded
-order of that epoch (md5 of seed, epoch and id). The prefix of a leaf is found through 16-bit hash buckets: bucket sums
-tell the one bucket in which the budget ends, and only that bucket's rows are ordered. So a leaf with a third of all rows is
+order of that epoch (md5 of seed, epoch and id). The prefix of a leaf is found through 256 hash buckets, whose sums tell the one
+in which the budget ends, and 256 finer ones in that; only the rows of the last bucket are ordered. So a leaf with a third of all rows is
 never sorted as one group. A document is in the prefix if the order's tokens up to and with it (and its equals) fit.
 
 Null names are the name "" at their level; null text has no tokens; repeated rows are taken together; names without a
@@ -18,6 +18,7 @@ weight get the default weight 1; zero or negative weights get nothing. An empty
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,7 +26,9 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 LEVELS = ("domain", "lang", "source")
-SEED, BUCKET_DIGITS = 42, 4
+SEED = 42
+#: Hex digits of the order key that name a bucket, coarse to fine.
+BUCKET_DIGITS = (2, 4)
 
 
 def count_words(text: Column) -> Column:
@@ -79,15 +82,22 @@ def plan(rows: DataFrame, *, fraction: float, weights: dict[str, float], max_epo
     whole = F.floor(F.col("budget") / F.nullif(F.col("tokens"), F.lit(0))).cast("bigint")
     dealt = dealt.withColumn("epochs", F.coalesce(whole, F.lit(0).cast("bigint"))).withColumn("rest", (F.floor("budget") - F.col("epochs") * F.col("tokens")).cast("bigint"))
     dealt = materialize(dealt, "leaf-budgets")
-    keyed = rows.join(dealt.select(*LEVELS, "epochs", "rest"), list(LEVELS)).withColumn("h", order_key(seed, F.col("epochs"), F.col(id_col))).withColumn("bucket", F.substring("h", 1, BUCKET_DIGITS))
-    sums = keyed.groupBy(*LEVELS, "rest", "bucket").agg(F.sum("tokens").alias("n"), F.max("h").alias("h"))
-    upto = Window.partitionBy(*LEVELS).orderBy("bucket")
-    sums = materialize(sums.withColumn("upto", F.sum("n").over(upto)), "bucket-sums")
-    # the rows of the first bucket that doesn't fit; the order's equals count together
-    edge = sums.where("upto > rest and upto - n <= rest").select(*LEVELS, "bucket", (F.col("rest") - F.col("upto") + F.col("n")).alias("room"))
-    order = Window.partitionBy(*LEVELS, "bucket").orderBy("h").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = keyed.join(edge, [*LEVELS, "bucket"]).withColumn("upto", F.sum("tokens").over(order)).where("upto <= room").groupBy(*LEVELS).agg(F.max("h").alias("h"))
-    last = sums.where("upto <= rest").groupBy(*LEVELS).agg(F.max("h").alias("h")).unionByName(inside).groupBy(*LEVELS).agg(F.max("h").alias("last"))
+    keyed = materialize(rows.join(dealt.select(*LEVELS, "epochs"), list(LEVELS)).select(*LEVELS, "tokens", order_key(seed, F.col("epochs"), F.col(id_col)).alias("h")), "ordered")
+    # first bucket by bucket, then in the one bucket in which the budget ends, by ever finer buckets; at last by rows
+    edge, taken, before = dealt.select(*LEVELS, F.col("rest").alias("room"), F.lit("").alias("prefix")), [], 0
+    upto = Window.partitionBy(*LEVELS).orderBy("bucket")  # at most 16 ** BUCKET_DIGITS[0] rows of a leaf
+    for digits in BUCKET_DIGITS:
+        inside = keyed.withColumn("prefix", F.substring("h", 1, before)).join(edge, [*LEVELS, "prefix"])
+        sums = inside.groupBy(*LEVELS, "room", F.substring("h", 1, digits).alias("bucket")).agg(F.sum("tokens").alias("n"), F.max("h").alias("h"))
+        sums = materialize(sums.withColumn("upto", F.sum("n").over(upto)), "bucket-sums")
+        taken.append(sums.where("upto <= room").groupBy(*LEVELS).agg(F.max("h").alias("h")))
+        edge = sums.where("upto > room and upto - n <= room").select(*LEVELS, (F.col("room") - F.col("upto") + F.col("n")).alias("room"), F.col("bucket").alias("prefix"))
+        before = digits
+    # the order's equals count together
+    order = Window.partitionBy(*LEVELS, "prefix").orderBy("h").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = keyed.withColumn("prefix", F.substring("h", 1, before)).join(edge, [*LEVELS, "prefix"]).withColumn("upto", F.sum("tokens").over(order))
+    taken.append(inside.where("upto <= room").groupBy(*LEVELS).agg(F.max("h").alias("h")))
+    last = reduce(DataFrame.unionByName, taken).groupBy(*LEVELS).agg(F.max("h").alias("last"))
     return materialize(dealt.join(last, list(LEVELS), "left").select(*LEVELS, "tokens", "budget", "epochs", "last"), "leaf-plan")
 
 
