@@ -184,3 +184,26 @@ def perspective_skew(pixels: DataFrame, skew: float) -> DataFrame:
     both = want.join(src("p").withColumnRenamed("__xp", "__i"), ["image_id", "y", "__i"], "left").join(src("q").withColumnRenamed("__xq", "__j"), ["image_id", "y", "__j"], "left")
     value = lambda c: F.when(F.col("pa").isNull() | F.col("qa").isNull(), 0).otherwise(F.expr(f"(p{c} * ({ONE} - __f) + q{c} * __f + {ONE // 2}) div {ONE}").cast("int"))
     return both.select(*(value(c).alias(c) if c in RGBA else F.col(c) for c in pixels.columns))
+
+
+def rotation(degrees: float) -> tuple[int, int]:
+    """Cosine and sine in 1/65536."""
+    t = math.radians(degrees)
+    return math.floor(math.cos(t) * ONE + 0.5), math.floor(math.sin(t) * ONE + 0.5)
+
+
+def rotate_free(pixels: DataFrame, degrees: float, background: tuple[int, int, int, int] = (0, 0, 0, 0)) -> DataFrame:
+    """Clockwise about the centre on the same canvas. Bilinear in fixed point; a pixel with a weighted neighbour outside
+    the image is background. Each pixel asks for its (up to four) neighbours in one join and sums them in one group."""
+    c, s = rotation(degrees)
+    u = f"(2L * x + 1 - width) * {c}L + (2L * y + 1 - height) * {s}L + (width - 1) * {ONE}L"
+    v = f"(2L * y + 1 - height) * {c}L - (2L * x + 1 - width) * {s}L + (height - 1) * {ONE}L"
+    at = pixels.select("image_id", "x", "y", "width", "height", F.expr(u).alias("u"), F.expr(v).alias("v"))
+    at = at.withColumns({"i": F.floor(F.col("u") / (2 * ONE)), "j": F.floor(F.col("v") / (2 * ONE))}).withColumns({"p": F.expr(f"(u - i * {2 * ONE}) div 2"), "q": F.expr(f"(v - j * {2 * ONE}) div 2")})
+    taps = F.explode(F.array(*(F.struct((F.col("i") + a).cast("int").alias("x"), (F.col("j") + b).cast("int").alias("y"), F.expr(f"{'p' if a else f'({ONE} - p)'} * {'q' if b else f'({ONE} - q)'}").alias("w")) for a in (0, 1) for b in (0, 1))))
+    asked = at.select("image_id", F.col("x").alias("ox"), F.col("y").alias("oy"), "width", "height", taps.alias("t")).where("t.w > 0")
+    source = pixels.select("image_id", F.col("x").alias("sx"), F.col("y").alias("sy"), *RGBA)
+    joined = asked.join(source.withColumnRenamed("image_id", "si"), (F.col("image_id") == F.col("si")) & (F.col("t.x") == F.col("sx")) & (F.col("t.y") == F.col("sy")), "left")
+    half, whole = ONE * ONE // 2, ONE * ONE
+    sums = joined.groupBy("image_id", "ox", "oy", "width", "height").agg(F.count_if(F.col("a").isNull()).alias("gone"), *(F.sum(F.col("t.w") * F.col(k)).alias(k) for k in RGBA))
+    return sums.select("image_id", F.col("ox").alias("x"), F.col("oy").alias("y"), *(F.when(F.col("gone") > 0, bg).otherwise(F.expr(f"({k} + {half}L) div {whole}L").cast("int")).alias(k) for k, bg in zip(RGBA, background, strict=True)), "width", "height")

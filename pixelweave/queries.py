@@ -11,10 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.expr import RGB, RGBA
+from .functions.expr import RGB, RGBA, hex_color
 from .operators import analyze, compose, geometry, neighbor, point
 from .plans.chain import FilterChain
-from .sources import derived
+from .sources import derived, files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -164,3 +164,54 @@ query("fit_fit", "SELECT c.image_id, CAST(c.x AS INT) AS x, CAST(c.y AS INT) AS
 _SK = "(x * 65536 - 16384 * y)"
 query("perspective_skew", "SELECT w.image_id, w.x, w.y, " + ", ".join(f"CASE WHEN p.a IS NULL OR q.a IS NULL THEN 0 ELSE CAST((p.{c} * (65536 - w.f) + q.{c} * w.f + 32768) // 65536 AS INT) END AS {c}" for c in RGBA) + f" FROM (SELECT *, i + CASE WHEN f = 0 THEN 0 ELSE 1 END AS j FROM (SELECT image_id, x, y, CAST(floor({_SK} / 65536.0) AS INT) AS i, CAST({_SK} - floor({_SK} / 65536.0) * 65536 AS INT) AS f FROM @)) w LEFT JOIN @ p ON p.image_id = w.image_id AND p.y = w.y AND p.x = w.i LEFT JOIN @ q ON q.image_id = w.image_id AND q.y = w.y AND q.x = w.j", "photo")(lambda p: neighbor.perspective_skew(p, 0.25))
 query("flagship", f"SELECT image_id, {_MEANS}, 255 AS a FROM {_TOP} WHERE k = 1".replace("FROM @", "FROM (" + _step(_project(**_each("greatest(0, least(255, # + 6))")), r=_near("r::FLOAT + 3.6000001430511475::FLOAT"), b=_near("b::FLOAT - 3.6000001430511475::FLOAT")) + ")"), "photo")(lambda p: analyze.dominant_color(point.white_balance(point.brightness(p, 6), 12)))
+
+
+def _round_trip(name: str, quality: int = 75):
+    def run(pixels: DataFrame) -> DataFrame:
+        encoded = files.encode(files.pack(pixels), name, quality).withColumn("path", F.col("image_id").cast("string"))
+        images = files.decode(encoded, strict=True).withColumn("image_id", F.col("path").cast("bigint"))
+        return files.unpack(images)
+
+    return run
+
+
+for _n in ("Png", "Bmp", "WebP", "Ico"):
+    query(f"roundtrip_{_n.lower()}", _project())(_round_trip(_n))
+query("roundtrip_gif", _project(**_each("# // 64 * 64"), a="255"), "photo")(lambda p: _round_trip("Gif")(p.withColumns({c: F.expr(f"{c} div 64 * 64").cast("int") for c in RGB}).withColumn("a", F.lit(255))))
+
+
+def _ramp(p: DataFrame) -> DataFrame:
+    return p.withColumns({"r": F.expr("255 * x div 63").cast("int"), "g": F.expr("255 * y div 47").cast("int"), "b": F.expr("255 * (x + y) div 110").cast("int")})
+
+
+def _jpeg_bound(p: DataFrame) -> DataFrame:
+    """A lossy format: whether the largest difference of a channel keeps the published bound of 12 at quality 95."""
+    ramp = _ramp(p)
+    after = _round_trip("Jpeg", 95)(ramp).select("image_id", "x", "y", *(F.col(c).alias(f"j{c}") for c in RGB))
+    worst = F.max(F.greatest(*(F.abs(F.col(c) - F.col(f"j{c}")) for c in RGB)))
+    return ramp.join(after, ["image_id", "x", "y"]).groupBy("image_id").agg((worst <= 12).alias("within"), F.count("*").alias("n"))
+
+
+query("roundtrip_jpeg_bound", "SELECT image_id, true AS within, count(*) AS n FROM @ GROUP BY image_id", "photo")(_jpeg_bound)
+
+
+def _encoded(p: DataFrame) -> DataFrame:
+    images = files.pack(p)
+    out = None
+    for name in ("Png", "Jpeg", "Gif", "Bmp", "Ico", "WebP"):
+        one = files.encode(images, name).select(F.concat_ws("/", "image_id", F.lit(f"{name}.dat")).alias("path"), "content")
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+_FILES = "(SELECT image_id || '/' || f || '.dat' AS path, f FROM (SELECT DISTINCT image_id FROM @), (VALUES ('Png'), ('Jpeg'), ('Gif'), ('Bmp'), ('Ico'), ('WebP')) v(f))"
+query("probe_format", f"SELECT path, f AS format FROM {_FILES}", "photo")(lambda p: files.probe_format(_encoded(p)))
+query("metadata", f"SELECT path, 64 AS width_px, 48 AS height_px, f AS format, 'RGBA8' AS color_type FROM {_FILES}", "photo")(lambda p: files.metadata(_encoded(p)).select("path", F.col("width").alias("width_px"), F.col("height").alias("height_px"), "format", "color_type"))
+query("solid", "SELECT 0::BIGINT AS image_id, CAST(p % 64 AS INT) AS x, CAST(p // 64 AS INT) AS y, 200 AS r, 60 AS g, 40 AS b, 255 AS a FROM range(3072) t(p)", "photo")(lambda p: derived.solid(p.sparkSession, 64, 48, (200, 60, 40, 255)))
+query("hex_color", "SELECT n_nationkey, v AS text, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey END AS r FROM (SELECT n_nationkey, '##' || lower(printf('%02x', n_nationkey)) || CASE WHEN n_nationkey % 2 = 0 THEN '1020' ELSE 'zz20' END AS v FROM nation)", "photo")(lambda p: p.select(F.col("image_id").cast("int").alias("n_nationkey")).distinct().withColumn("text", F.concat(F.lit("##"), F.lower(F.lpad(F.hex("n_nationkey"), 2, "0")), F.expr("CASE WHEN n_nationkey % 2 = 0 THEN '1020' ELSE 'zz20' END"))).withColumn("r", hex_color(F.col("text"))["r"]))
+_C, _S = neighbor.rotation(30)
+_ROT = f"(SELECT image_id, x, y, (2 * x - 63) * {_C} + (2 * y - 47) * {_S} + 63 * 65536 AS u, (2 * y - 47) * {_C} - (2 * x - 63) * {_S} + 47 * 65536 AS v FROM @)"
+_ROT = f"(SELECT *, CAST(floor(u / 131072.0) AS INT) AS i, CAST(floor(v / 131072.0) AS INT) AS j FROM {_ROT})"
+_ROT = f"(SELECT *, CAST((u - i::BIGINT * 131072) // 2 AS BIGINT) AS p, CAST((v - j::BIGINT * 131072) // 2 AS BIGINT) AS q FROM {_ROT})"
+_TAPS = " UNION ALL ".join(f"SELECT image_id, x, y, i + {_a} AS tx, j + {_b} AS ty, {'p' if _a else '(65536 - p)'} * {'q' if _b else '(65536 - q)'} AS w FROM {_ROT}" for _a in (0, 1) for _b in (0, 1))
+query("rotate_free", "SELECT t.image_id, t.x, t.y, " + ", ".join(f"CASE WHEN count(*) FILTER (WHERE s.a IS NULL) > 0 THEN {bg} ELSE CAST((sum(t.w * s.{c}) + 2147483648) // 4294967296 AS INT) END AS {c}" for c, bg in zip(RGBA, (10, 20, 30, 255), strict=True)) + f" FROM ({_TAPS}) t LEFT JOIN @ s ON s.image_id = t.image_id AND s.x = t.tx AND s.y = t.ty WHERE t.w > 0 GROUP BY t.image_id, t.x, t.y", "photo")(lambda p: neighbor.rotate_free(p, 30, (10, 20, 30, 255)))
