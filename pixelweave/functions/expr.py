@@ -26,7 +26,9 @@ def clamp255(value: Column) -> Column:
 
 
 def rounded(value: Column) -> Column:
-    return clamp255(F.round(value))
+    """Half up after saturation, in double precision where the half is exact; Spark's round() goes through decimals."""
+    held = F.greatest(f32(0.0), F.least(f32(255.0), value)).cast("double")
+    return F.floor(held + F.lit(0.5)).cast("int")
 
 
 def clamp_int(value: Column) -> Column:
