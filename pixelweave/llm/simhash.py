@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import as_bytes, materialize, pieces
+from .common import as_bytes, materialize, mix, pieces
 from .graph import components
 
 #: Largest bucket that one task compares at once; rows that a task holds.
@@ -52,7 +52,7 @@ def majority(hashes: list[list[int]]) -> np.ndarray:
     some = np.flatnonzero(sizes)
     if not len(some):
         return out
-    flat = np.fromiter((h for x in hashes for h in x), np.uint64, int(sizes.sum()))
+    flat = np.concatenate([np.array(hashes[i], np.uint64) for i in some])
     bits = np.unpackbits(flat.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     counts = np.add.reduceat(bits, (np.cumsum(sizes) - sizes)[some], axis=0, dtype=np.int32)
     over = 2 * counts > sizes[some][:, None]
@@ -60,16 +60,17 @@ def majority(hashes: list[list[int]]) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, *, width: int = 5, seed: int = 42) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long)."""
+def fingerprints(docs: DataFrame, *, width: int = 5, seed: int = 42, second: bool = False) -> DataFrame:
+    """doc_id and fp (the fingerprint as a signed long); second: also other, an independent fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, 1, 1 << 20):
-                got = majority([shingle_hashes(x, width, seed) for x in as_bytes(piece.column(1))])
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(got.view(np.int64))], names=["doc_id", "fp"])
+                hashes = [shingle_hashes(x, width, seed) for x in as_bytes(piece.column(1))]
+                prints = [majority(hashes)] + ([majority([mix(np.array(h, np.uint64)) for h in hashes])] if second else [])
+                yield pa.RecordBatch.from_arrays([piece.column(0), *(pa.array(p.view(np.int64)) for p in prints)], names=["doc_id", "fp", "other"][: 1 + len(prints)])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, fp bigint")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, fp bigint" + ", other bigint" * second)
 
 
 def block_plan(n: int, radius: int) -> list[tuple[list[tuple[int, int]], ...]]:
@@ -266,11 +267,21 @@ def fingerprint_links(distinct: DataFrame, radius: int = 4, hot: int = HOT) -> D
     return links.union(rest.select("u", "v"))
 
 
-def near_duplicates(docs: DataFrame, *, width: int = 5, radius: int = 4, seed: int = 42, hot: int = HOT) -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id reachable over links) for every row."""
-    prints = materialize(fingerprints(docs, width=width, seed=seed), "fingerprints")
+def near_duplicates(docs: DataFrame, *, width: int = 5, radius: int = 4, seed: int = 42, hot: int = HOT, confirm: int | None = None) -> DataFrame:
+    """doc_id, fp and component_id (the smallest doc_id reachable over links) for every row.
+
+    confirm: a link between different fingerprints must also have at most so many differing bits in an independent
+    second fingerprint (that of the smallest id with the first one), so that chance links don't grow with the corpus.
+    """
+    prints = materialize(fingerprints(docs, width=width, seed=seed, second=confirm is not None), "fingerprints")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(fingerprint_links(prints.select("fp").distinct(), radius, hot))
+    links = fingerprint_links(prints.select("fp").distinct(), radius, hot)
+    if confirm is not None:
+        second = prints.groupBy("fp").agg(F.coalesce(F.min_by("other", "doc_id"), F.min("other")).alias("other"))
+        for side in ("u", "v"):
+            links = links.join(second.select(F.col("fp").alias(side), F.col("other").alias(f"other_{side}")), side)
+        links = links.where(F.bit_count(F.col("other_u").bitwiseXOR(F.col("other_v"))) <= confirm).select("u", "v")
+    roots = components(links)
     rooted = nodes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = materialize(rooted.join(least, "root").select("fp", "component_id"), "simhash-components")

@@ -96,6 +96,14 @@ def test_simhash_hot_buckets_are_split(spark, docs):
     assert sorted(map(tuple, simhash.near_duplicates(docs, width=4, hot=3).collect())) == plain
 
 
+def test_second_fingerprint_confirms(spark, docs):
+    plain = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, confirm=64).collect()} == plain
+    loose = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, radius=7).collect()}
+    sure = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, radius=7, confirm=16).collect()}
+    assert all(sure[i] >= loose[i] for i in sure) and all(sure[i] <= i for i in sure)
+
+
 def test_keep_first(spark, edge, empty):
     kept = simhash.keep_first(edge)
     assert kept.columns == edge.columns
