@@ -93,7 +93,7 @@ def with_counts(docs: DataFrame, text: str = "text", keep_text: bool = True) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, at):
+            for piece in pieces(batch, at, 2 << 20):
                 got = count_texts([x or "" for x in piece.column(at).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*(piece.column(i) for i in kept), *(pa.array(got[c]) for c in COUNTS)], names=names)
 
