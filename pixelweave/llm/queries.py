@@ -78,3 +78,33 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_substring_dedup, op3_tokens, op4_sharding, op5_decontaminate, op6_url_filter, op7_mixing, op8_toxicity, op9_html_text, op10_quality_rules)}
 SQL: dict[str, str] = {}
+
+SQL["op2_substring_dedup"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, k, array_to_string(w[k:k + 19], ' ') AS s FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 19)) AS k FROM d)),
+later AS (SELECT doc_id, k FROM (SELECT doc_id, k, row_number() OVER (PARTITION BY s ORDER BY doc_id, k) AS n FROM win) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, k + j AS p FROM later, range(20) r(j)),
+pos AS (SELECT doc_id, unnest(w) AS word, unnest(generate_series(1, len(w))) AS p FROM d),
+kept AS (SELECT pos.doc_id, count(gone.p) AS n_removed, string_agg(CASE WHEN gone.p IS NULL THEN pos.word END, ' ' ORDER BY pos.p) AS t
+  FROM pos LEFT JOIN gone ON gone.doc_id = pos.doc_id AND gone.p = pos.p GROUP BY pos.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
+
+_HEX = "CAST('0x' || substr(md5({}), 1, 6) AS BIGINT)"
+SQL["op6_url_filter"] = rf"""
+WITH c AS (SELECT page_id, url, DATE '2024-01-01' + CAST({_HEX.format("url")} % 360 AS INT) AS fetched,
+  lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)) AS host,
+  list_filter(string_split(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]+/([^?#]*)', 1), '/'), lambda x: x <> '') AS parts FROM pages),
+k0 AS (SELECT *, string_split(host, '.') AS labels FROM c),
+keys AS (SELECT page_id, url, fetched, host AS key FROM k0 WHERE host <> ''
+  UNION SELECT page_id, url, fetched, array_to_string(labels[i:], '.') FROM k0, range(2, 20) t(i) WHERE host <> '' AND i <= len(labels) - 1
+  UNION SELECT page_id, url, fetched, host || '/' || array_to_string(parts[1:i], '/') FROM k0, range(1, 3) t(i) WHERE host <> '' AND i <= len(parts)),
+n AS (SELECT DISTINCT key, {_HEX.format("key")} AS n FROM keys),
+e AS (SELECT key, n % 180 AS d, 'add' AS action, n FROM n WHERE n % 5 < 2 UNION ALL SELECT key, n % 180 + 30 + n % 60, 'remove', n FROM n WHERE n % 5 < 2
+  UNION ALL SELECT key, 300 + n % 40, 'add', n FROM n WHERE n % 5 < 2 AND n % 2 = 0),
+daily AS (SELECT key, DATE '2024-01-01' + CAST(d AS INT) AS day, max(action) AS action FROM e WHERE d < 300 OR n % 2 = 0 GROUP BY ALL),
+spans AS (SELECT * FROM (SELECT key, day, action, lead(day) OVER (PARTITION BY key ORDER BY day) AS last FROM daily) WHERE action = 'add'),
+hit AS (SELECT page_id, url, fetched, min(spans.key) AS listed_by FROM keys JOIN spans ON spans.key = keys.key AND fetched >= day AND (last IS NULL OR fetched < last) GROUP BY ALL)
+SELECT c.page_id, c.url, c.fetched, hit.listed_by IS NOT NULL AS listed, hit.listed_by FROM c LEFT JOIN hit ON hit.page_id = c.page_id AND hit.url = c.url AND hit.fetched = c.fetched
+"""
