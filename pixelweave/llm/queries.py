@@ -108,3 +108,31 @@ spans AS (SELECT * FROM (SELECT key, day, action, lead(day) OVER (PARTITION BY k
 hit AS (SELECT page_id, url, fetched, min(spans.key) AS listed_by FROM keys JOIN spans ON spans.key = keys.key AND fetched >= day AND (last IS NULL OR fetched < last) GROUP BY ALL)
 SELECT c.page_id, c.url, c.fetched, hit.listed_by IS NOT NULL AS listed, hit.listed_by FROM c LEFT JOIN hit ON hit.page_id = c.page_id AND hit.url = c.url AND hit.fetched = c.fetched
 """
+
+
+def _mix_sql() -> str:
+    """Operator 7 without buckets: one ordered sum per leaf."""
+    weight = "CASE concat_ws('/', {}) " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in MIX_WEIGHTS.items()) + " ELSE 1::DOUBLE END"
+    parts = [
+        r"d AS (SELECT doc_id, ['web', 'books', 'forum', 'news'][coalesce(TRY_CAST(regexp_extract(source, '(\d+)$', 1) AS INT), 0) % 4 + 1] AS domain, lang AS own_lang, source AS own_source, coalesce(lang, '') AS lang, coalesce(source, '') AS source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS tokens FROM documents)",
+        "leaves AS (SELECT domain, lang, source, CAST(sum(tokens) AS BIGINT) AS tokens FROM d GROUP BY ALL)",
+        "n0 AS (SELECT CAST(floor(sum(tokens) * 0.6::DOUBLE) AS DOUBLE) AS given FROM leaves)",
+    ]
+    for depth in (1, 2, 3):
+        own = ", ".join(mixing.LEVELS[:depth])
+        parent = mixing.LEVELS[: depth - 1]
+        group = f"PARTITION BY {', '.join(parent)} " if parent else ""
+        join = f"JOIN n{depth - 1} USING ({', '.join(parent)})" if parent else ", n0"
+        parts += [
+            f"a{depth} AS (SELECT * FROM (SELECT {own}, CAST(sum(tokens) * 2 AS DOUBLE) AS cap, {weight.format(own)} AS w FROM leaves GROUP BY {own}) x {join})",
+            f"b{depth} AS (SELECT *, greatest(given - coalesce(sum(cap) OVER ({group}ORDER BY cap / w, {own} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) * w / sum(w) OVER ({group}ORDER BY cap / w, {own} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS share FROM a{depth})",
+            f"n{depth} AS (SELECT {own}, CASE WHEN level IS NULL THEN cap ELSE least(cap, level * w) END AS given FROM (SELECT *, max(CASE WHEN share < cap THEN share / w END) OVER ({group}) AS level FROM b{depth}))",
+        ]
+    parts += [
+        "plan AS (SELECT *, CASE WHEN tokens > 0 THEN CAST(floor(given / tokens) AS BIGINT) ELSE 0 END AS epochs FROM leaves JOIN n3 USING (domain, lang, source))",
+        "o AS (SELECT d.doc_id, d.domain, d.own_lang, d.own_source, d.tokens, p.epochs, CAST(floor(p.given) AS BIGINT) - p.epochs * p.tokens AS rest, sum(d.tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('42|' || p.epochs || '|' || coalesce(CAST(d.doc_id AS VARCHAR), ''))) AS upto FROM d JOIN plan p USING (domain, lang, source))",
+    ]
+    return f"WITH {', '.join(parts)} SELECT doc_id, domain, own_lang AS lang, own_source AS source, epoch, tokens AS n_tokens FROM (SELECT *, unnest(range(0, epochs + CASE WHEN upto <= rest THEN 1 ELSE 0 END)) AS epoch FROM o)"
+
+
+SQL["op7_mixing"] = _mix_sql()
