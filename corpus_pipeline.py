@@ -18,8 +18,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: 64-bit fingerprints within 7 bits, an independent one within 16."""
-    return simhash.keep_first(docs, width=5, radius=7, confirm=16)
+    """One document of each group of near-duplicates stays: those that share 0.8 of their five-word shingles or more."""
+    return simhash.keep_first(docs, width=5, similarity=0.8)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

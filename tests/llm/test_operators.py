@@ -70,7 +70,7 @@ def test_simhash(spark, docs):
     assert got == {i: (f"{int(f[i]):016x}", int(label[i])) for i in range(len(f))}
 
 
-@pytest.mark.parametrize("radius", [0, 3, 7])
+@pytest.mark.parametrize("radius", [0, 3, 7, 8, 20])
 def test_bit_sliced_forest(radius):
     rng = np.random.default_rng(radius)
     fp = rng.integers(0, 2**63, 900, dtype=np.uint64)
@@ -96,12 +96,64 @@ def test_simhash_hot_buckets_are_split(spark, docs):
     assert sorted(map(tuple, simhash.near_duplicates(docs, width=4, hot=3).collect())) == plain
 
 
-def test_second_fingerprint_confirms(spark, docs):
-    plain = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
-    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, confirm=64).collect()} == plain
-    loose = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, radius=7).collect()}
-    sure = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, radius=7, confirm=16).collect()}
-    assert all(sure[i] >= loose[i] for i in sure) and all(sure[i] <= i for i in sure)
+def shingle_set(t, width=5):
+    w = words(t.lower())
+    return {" ".join(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set()
+
+
+def near_texts(seed=3, groups=40):
+    """Groups of a text and copies with a word changed every so often; similarities of about 0.5 to 0.98, and unlike texts."""
+    rng = random.Random(seed)
+    out = []
+    for _ in range(groups):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(60, 600))]
+        out.append(" ".join(base))
+        for _ in range(rng.randrange(4)):
+            own, every = list(base), rng.choice([20, 40, 60, 120])
+            for k in range(rng.randrange(every), len(own), every):
+                own[k] = f"x{rng.randrange(3000)}"
+            out.append(" ".join(own))
+    return [(i, t, "en", "src0", len(t)) for i, t in enumerate(out)]
+
+
+def grouped(n, linked):
+    label = list(range(n))
+    while True:
+        new = [min([label[j] for j in range(n) if linked[i][j]] + [label[i]]) for i in range(n)]
+        if new == label:
+            return label
+        label = new
+
+
+@pytest.mark.parametrize("hot", [4096, 2])
+def test_similar_texts(spark, hot):
+    rows = near_texts()
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA), similarity=0.8, hot=hot).collect()}
+    sets = [shingle_set(r[1]) for r in rows]
+    share = [[len(a & b) / len(a | b) for b in sets] for a in sets]
+    sure = grouped(len(rows), [[x >= 0.85 for x in r] for r in share])
+    loose = grouped(len(rows), [[x >= 0.72 for x in r] for r in share])
+    assert sum(a != i for i, a in enumerate(sure)) > 10
+    assert all(got[i] == got[sure[i]] for i in got), "a pair of similarity 0.85 or more was lost"
+    assert all(loose[i] == loose[got[i]] for i in got), "a pair of similarity under 0.72 was linked"
+
+
+def test_sketch_estimate():
+    rng = np.random.default_rng(5)
+    for share in (0.6, 0.8, 0.95):
+        both = rng.integers(0, 2**63, 3000).tolist()
+        n = int(3000 / share - 3000) // 2
+        a, b = simhash.sketches([both + rng.integers(0, 2**63, n).tolist(), both + rng.integers(0, 2**63, n).tolist()])[:, None]
+        assert simhash.alike(a, b, share - 0.1)[0] and not simhash.alike(a, b, share + 0.12)[0]
+
+
+def test_similar_odd_rows(spark, edge, empty):
+    got = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(edge, similarity=0.8).collect()}
+    assert {(1, 1), (2, 1), (3, 3), (4, 3), (5, 3), (8, 8)} <= got
+    kept = simhash.keep_first(edge, similarity=0.8)
+    ids = [r.doc_id for r in kept.collect()]
+    assert kept.columns == edge.columns and 1 in ids and 2 not in ids and ids.count(8) == 1
+    assert simhash.keep_first(empty, similarity=0.8).count() == 0
 
 
 def test_keep_first(spark, edge, empty):
