@@ -1,5 +1,5 @@
-"""WebP containers, and lossless streams: literals are written; literals and far copies are read, other features raise
-unsupported."""
+"""WebP containers: stills and the first frame of animations, with lossless streams; lossy ones raise unsupported. Written are
+lossless literals."""
 
 from __future__ import annotations
 
@@ -7,11 +7,9 @@ import struct
 
 import numpy as np
 
-from . import CodecError, check_size, damaged, need, to_rgba, unsupported
+from . import CodecError, check_size, damaged, need, to_rgba, unsupported, vp8l
 
-SIDE = 16_384
-# The order of the code-length code's lengths.
-LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
+SIDE = vp8l.SIDE
 
 
 def is_webp(data: bytes) -> bool:
@@ -33,10 +31,7 @@ def dimensions(data: bytes) -> tuple[int, int]:
         if kind == b"VP8X":
             return 1 + int.from_bytes(need(body, 4, 3), "little"), 1 + int.from_bytes(need(body, 7, 3), "little")
         if kind == b"VP8L":
-            if need(body, 0, 1) != b"\x2f":
-                raise damaged("wrong lossless signature")
-            bits = int.from_bytes(need(body, 1, 4), "little")
-            return (bits & 0x3FFF) + 1, (bits >> 14 & 0x3FFF) + 1
+            return vp8l.dimensions(body)
         if kind == b"VP8 ":
             if need(body, 3, 3) != b"\x9d\x01\x2a":
                 raise damaged("not a key frame")
@@ -45,137 +40,38 @@ def dimensions(data: bytes) -> tuple[int, int]:
     raise damaged("no image")
 
 
-class _Bits:
-    def __init__(self, data: bytes) -> None:
-        self.data, self.at, self.value, self.held = data, 0, 0, 0
-
-    def read(self, n: int) -> int:
-        while self.held < n:
-            part = self.data[self.at : self.at + 8]
-            if not part:
-                raise damaged("the stream ends early")
-            self.value |= int.from_bytes(part, "little") << self.held
-            self.at += len(part)
-            self.held += 8 * len(part)
-        out = self.value & ((1 << n) - 1)
-        self.value >>= n
-        self.held -= n
-        return out
-
-
-class _Code:
-    """A canonical prefix code, read bit by bit through a dictionary of (length, code)."""
-
-    def __init__(self, lengths: list[int]) -> None:
-        used = [(n, s) for s, n in enumerate(lengths) if n]
-        self.single = used[0][1] if len(used) == 1 else None
-        self.codes: dict[tuple[int, int], int] = {}
-        code = last = 0
-        for n, s in sorted(used):
-            code <<= n - last
-            last = n
-            self.codes[n, code] = s
-            code += 1
-        if not used or (self.single is None and sum(2.0**-n for n, _ in used) != 1.0):
-            raise damaged("wrong prefix code")
-        self.most = max(n for n, _ in used)
-
-    def read(self, bits: _Bits) -> int:
-        if self.single is not None:
-            return self.single
-        code = 0
-        for n in range(1, self.most + 1):
-            code = code << 1 | bits.read(1)
-            if (s := self.codes.get((n, code))) is not None:
-                return s
-        raise damaged("wrong prefix code")
-
-
-def _read_code(bits: _Bits, size: int) -> _Code:
-    lengths = [0] * size
-    if bits.read(1):
-        two = bits.read(1)
-        first = bits.read(8 if bits.read(1) else 1)
-        symbols = [first] + ([bits.read(8)] if two else [])
-        for s in symbols:
-            if s >= size:
-                raise damaged("wrong symbol")
-            lengths[s] = 1
-        return _Code(lengths)
-    inner = [0] * 19
-    for i in range(4 + bits.read(4)):
-        inner[LENGTH_ORDER[i]] = bits.read(3)
-    code = _Code(inner)
-    left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
-    at, before = 0, 8
-    while at < size and left:
-        left -= 1
-        s = code.read(bits)
-        if s < 16:
-            lengths[at] = s
-            at += 1
-            before = s or before
-        else:
-            n, value = (3 + bits.read(2), before) if s == 16 else (3 + bits.read(3), 0) if s == 17 else (11 + bits.read(7), 0)
-            if at + n > size:
-                raise damaged("too many lengths")
-            lengths[at : at + n] = [value] * n
-            at += n
-    return _Code(lengths)
-
-
-def _extra(bits: _Bits, s: int) -> int:
-    if s < 4:
-        return s + 1
-    n = (s - 2) >> 1
-    return ((2 + (s & 1)) << n) + bits.read(n) + 1
-
-
 def decode(data: bytes) -> np.ndarray:
     width, height = dimensions(data)
     check_size(width, height, SIDE)
+    wide = False
     for kind, body in chunks(data):
-        if kind == b"VP8L":
-            return _lossless(body, width, height)
-        if kind in (b"VP8 ", b"ANMF"):
-            raise unsupported("lossy and animated WebP aren't decoded")
+        if kind == b"VP8X":
+            wide = True
+        elif kind == b"VP8L":
+            return _place(vp8l.decode(body), 0, 0, width, height) if wide else vp8l.decode(body)
+        elif kind == b"ANMF" and wide:
+            x, y = (2 * int.from_bytes(need(body, at, 3), "little") for at in (0, 3))
+            for inner, frame in chunks(body, 16):
+                if inner == b"VP8L":
+                    return _place(vp8l.decode(frame), x, y, width, height)
+                if inner == b"VP8 ":
+                    break
+            else:
+                raise damaged("a frame without an image")
+            raise unsupported("lossy WebP isn't decoded")
+        elif kind == b"VP8 ":
+            raise unsupported("lossy WebP isn't decoded")
     raise damaged("no image")
 
 
-def _lossless(body: bytes, width: int, height: int) -> np.ndarray:
-    bits = _Bits(body[5:])
-    green = False
-    while bits.read(1):
-        if bits.read(2) != 2 or green:
-            raise unsupported("this transform isn't decoded")
-        green = True
-    if bits.read(1):
-        raise unsupported("colour caches aren't decoded")
-    if bits.read(1):
-        raise unsupported("meta prefix codes aren't decoded")
-    codes = [_read_code(bits, n) for n in (256 + 24, 256, 256, 256, 40)]
-    n = width * height
-    out = np.zeros((n, 4), np.uint8)
-    at = 0
-    while at < n:
-        g = codes[0].read(bits)
-        if g < 256:
-            out[at] = (codes[1].read(bits), g, codes[2].read(bits), codes[3].read(bits))
-            at += 1
-            continue
-        length, d = _extra(bits, g - 256), _extra(bits, codes[4].read(bits))
-        if d <= 120:
-            raise unsupported("short distance codes aren't decoded")
-        d -= 120
-        if d > at or at + length > n:
-            raise damaged("a copy leaves the image")
-        for i in range(at, at + length):
-            out[i] = out[i - d]
-        at += length
-    if green:
-        out[:, 0] += out[:, 1]
-        out[:, 2] += out[:, 1]
-    return out.reshape(height, width, 4)
+def _place(pixels: np.ndarray, x: int, y: int, width: int, height: int) -> np.ndarray:
+    """Pixels on a transparent canvas; what lies outside is cut. Fully transparent pixels leave the canvas alone."""
+    if pixels.shape[:2] == (height, width) and not x and not y:
+        return pixels
+    out = np.zeros((height, width, 4), np.uint8)
+    part = pixels[: max(0, height - y), : max(0, width - x)]
+    out[y : y + part.shape[0], x : x + part.shape[1]] = np.where(part[..., 3:] > 0, part, 0)
+    return out
 
 
 class _Writer:
@@ -207,7 +103,7 @@ def encode(pixels: np.ndarray) -> bytes:
     for size in (280, 256, 256, 256):
         bits.put(0, 1)
         bits.put(12, 4)  # 16 code lengths' lengths: those of 0 and of 8 are 1 bit
-        for s in LENGTH_ORDER[:16]:
+        for s in vp8l.LENGTH_ORDER[:16]:
             bits.put(1 if s in (0, 8) else 0, 3)
         bits.put(0, 1)
         for i in range(size):
