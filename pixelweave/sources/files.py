@@ -16,6 +16,7 @@ FORMATS = {"Png": png, "Jpeg": jpeg, "Gif": gif, "Bmp": bmp, "Ico": ico, "WebP":
 ENDINGS = {"png": "Png", "jpg": "Jpeg", "jpeg": "Jpeg", "gif": "Gif", "bmp": "Bmp", "webp": "WebP", "ico": "Ico", "avif": "Avif", "avis": "Avif"}
 IMAGES = "path string, width int, height int, format string, color_type string, pixels binary, error struct<kind:string,message:string>"
 METADATA = "path string, width int, height int, format string, color_type string, exif_orientation int, exif_date_taken string, exif_camera string, exif_exposure string, error struct<kind:string,message:string>"
+TILES = "num int, row int, col int, size bigint, offset bigint, mi_row_start int, mi_row_end int, mi_col_start int, mi_col_end int"
 SNIFF = (("Png", png.is_png), ("Jpeg", jpeg.is_jpeg), ("Gif", gif.is_gif), ("Bmp", bmp.is_bmp), ("Ico", ico.is_ico), ("WebP", webp.is_webp), ("Avif", avif.is_avif))
 
 
@@ -53,6 +54,24 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
+def av1_tiles(files: DataFrame) -> DataFrame:
+    """One row for each tile of an AVIF's primary image; a file that can't be read gives one row with its error."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["path", *(c.split()[0] for c in TILES.split(", ")), "error"]
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                try:
+                    rows += [{"path": path, "error": None, **tile} for tile in avif.tile_layout(content or b"")]
+                except CodecError as error:
+                    rows.append({"path": path, "error": {"kind": error.kind, "message": str(error)}})
+            out = pd.DataFrame(rows, columns=columns)
+            yield out.astype({c: "Int64" for c in columns[1:-1]})
+
+    return files.select("path", "content").mapInPandas(run, f"path string, {TILES}, error struct<kind:string,message:string>")
+
+
 def _row(path, data: bytes, forced: str | None) -> dict:
     out = {"path": path, "width": None, "height": None, "format": None, "color_type": None, "pixels": None, "error": None}
     try:
