@@ -13,7 +13,7 @@ are split into parts, and each pair of parts is a task of its own: nothing is dr
 
 By similarity (the share of common shingles, repeats left out, of 0.8 say) bits that guarantee the radius would make keys
 that all documents share, so there buckets are bands of ROWS min-hashes each: a pair of similarity s shares one of BANDS with
-probability 1 - (1 - s^ROWS)^BANDS, 99.8 % at 0.8. Pairs pass the bit-sliced radius and then a sketch of the
+probability 1 - (1 - s^ROWS)^BANDS, 99.8 % at 0.8. Fingerprints are of the distinct shingles there. Pairs pass the bit-sliced radius and then a sketch of the
 shingle sets (the least hash of each of BINS bins, 4 bits of it), whose estimate has a deviation of about 0.025 at 0.8 for long
 texts and less for short ones.
 
@@ -120,6 +120,8 @@ def fingerprints(docs: DataFrame, *, width: int = 5, seed: int = 42, sets: bool
         for batch in batches:
             for piece in pieces(batch, 1, 1 << 20):
                 hashes = [shingle_hashes(x, width, seed) for x in as_bytes(piece.column(1))]
+                if sets:
+                    hashes = [np.unique(np.array(x, np.uint64)) for x in hashes]
                 fp = majority(hashes)
                 columns = {"doc_id": piece.column(0), "fp": pa.array(fp.view(np.int64))}
                 if sets:
