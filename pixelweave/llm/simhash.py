@@ -18,7 +18,8 @@ shingle sets (the least hash of each of BINS bins, 4 bits of it), whose estimate
 texts and less for short ones.
 
 A null text has no words; texts without words have fingerprint 0 and are linked like any other. A document with a null id
-gets a component by the other ids (null if there are none). Repeated rows give repeated results; empty in, empty out.
+gets a component by the other ids (null if there are none). The row that stays of a group is the one with the least (id, hash of
+the text), null ids last, so groups without ids and unlike texts under one id keep a row each. Repeated rows give repeated results; empty in, empty out.
 """
 
 from __future__ import annotations
@@ -113,8 +114,8 @@ def alike(x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
     return same >= similarity * used
 
 
-def fingerprints(docs: DataFrame, *, width: int = 5, seed: int = 42, sets: bool = False) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long); sets: also the band keys, the sketch, and node, a hash of all three."""
+def fingerprints(docs: DataFrame, *, width: int = 5, seed: int = 42, sets: bool = False, text_hash: bool = False) -> DataFrame:
+    """doc_id and fp (the fingerprint as a signed long); sets: also the band keys, the sketch, and node, a hash of all three; text_hash: also a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,9 +130,11 @@ def fingerprints(docs: DataFrame, *, width: int = 5, seed: int = 42, sets: bool
                     node = [xxh64_intdigest(a.tobytes() + b.tobytes() + c.tobytes()) for a, b, c in zip(fp, bands, sketch, strict=True)]
                     keys = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32)), pa.array(bands.view(np.int64).ravel()))
                     columns |= {"node": pa.array(np.array(node, np.uint64).view(np.int64)), "sketch": pa.array([x.tobytes() for x in sketch], pa.binary()), "keys": keys}
+                if text_hash:
+                    columns["text_hash"] = piece.column(2)
                 yield pa.RecordBatch.from_pydict(columns)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, fp bigint" + ", node bigint, sketch binary, keys array<bigint>" * sets)
+    return docs.select("doc_id", "text", *[F.xxhash64("text").alias("text_hash")] * text_hash).mapInArrow(run, "doc_id bigint, fp bigint" + ", node bigint, sketch binary, keys array<bigint>" * sets + ", text_hash bigint" * text_hash)
 
 
 def block_plan(n: int, radius: int) -> list[tuple[list[tuple[int, int]], ...]]:
@@ -357,30 +360,44 @@ def _bucket_links(keyed: DataFrame, radius: int, hot: int, similarity: float | N
     return links.union(search(split.select(F.xxhash64("key", "p.a", "p.b").alias("key"), node, *more), 1 << 62).select("u", "v"))
 
 
-def near_duplicates(docs: DataFrame, *, width: int = 5, radius: int = 4, seed: int = 42, hot: int = HOT, similarity: float | None = None) -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id reachable over links) for every row.
+def similar_links(prints: DataFrame, similarity: float, hot: int) -> DataFrame:
+    """Links (u, v) between the nodes of texts that are alike."""
+    distinct = prints.groupBy("node").agg(*(F.first(c).alias(c) for c in ("fp", "sketch", "keys")))
+    return _bucket_links(distinct.select(F.explode("keys").alias("key"), "node", "fp", "sketch"), NEAR, hot, similarity)
 
-    Links are fingerprints within the radius, or with a similarity, texts whose shingle sets have at least that one.
-    """
-    prints = materialize(fingerprints(docs, width=width, seed=seed, sets=similarity is not None), "fingerprints")
+
+def _linked(docs: DataFrame, *, width: int = 5, radius: int = 4, seed: int = 42, hot: int = HOT, similarity: float | None = None, text_hash: bool = False) -> tuple[DataFrame, str, DataFrame]:
+    """Fingerprints of all rows, the name of their node column, and (node, root) of linked nodes."""
+    prints = materialize(fingerprints(docs, width=width, seed=seed, sets=similarity is not None, text_hash=text_hash), "fingerprints")
     if similarity is None:
         node, links = "fp", fingerprint_links(prints.select("fp").distinct(), radius, hot)
     else:
-        node = "node"
-        distinct = prints.groupBy("node").agg(*(F.first(c).alias(c) for c in ("fp", "sketch", "keys")))
-        links = _bucket_links(distinct.select(F.explode("keys").alias("key"), "node", "fp", "sketch"), NEAR, hot, similarity)
+        node, links = "node", similar_links(prints, similarity, hot)
+    return prints, node, components(links).select(F.col("node").alias(node), "root")
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, fp and component_id (the smallest doc_id reachable over links) for every row.
+
+    Links are fingerprints within the radius, or with a similarity, texts whose shingle sets have at least that one.
+    """
+    prints, node, roots = _linked(docs, **options)
     nodes = prints.groupBy(node).agg(F.min("doc_id").alias("first"))
-    roots = components(links)
-    rooted = nodes.join(roots.select(F.col("node").alias(node), "root"), node, "left").select(node, "first", F.coalesce("root", node).alias("root"))
+    rooted = nodes.join(roots, node, "left").select(node, "first", F.coalesce("root", node).alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = materialize(rooted.join(least, "root").select(node, "component_id"), "simhash-components")
     return prints.join(named, node).select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """One document of each group: the one with the smallest id, once."""
-    kept = near_duplicates(docs, **options).where("doc_id <=> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["doc_id"])
+    """One document of each group: the one with the smallest id (null last) and hash of its text, once."""
+    prints, node, roots = _linked(docs, text_hash=True, **options)
+    nodes = prints.groupBy(node).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first"))
+    first = nodes.join(roots, node, "left").groupBy(F.coalesce("root", node)).agg(F.min("first").alias("first"))
+    kept = materialize(first.select(F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__kept")), "simhash-kept")
+    rows = docs.withColumn("__text_hash", F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__kept"))
+    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__text_hash"]).drop("__text_hash")
 
 
 def hex_print(fp="fp"):

@@ -32,3 +32,19 @@ def test_repeated_lines_do_not_part_near_duplicates(spark):
     expected = by_force(texts)
     assert sum(i != x for i, x in enumerate(expected)) == 25
     assert components(spark, texts) == expected
+
+
+def test_survivors_of_rows_without_own_ids(spark):
+    rng = random.Random(2)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(80)) for _ in range(12)]
+    near = " ".join(texts[0].split()[:-1] + ["changed"])
+    ids = [None] * 6 + [1, 1, 2, 3, None, 4]
+    rows = table(spark, [*texts, near, texts[1], texts[6]], [*ids, 9, None, 7])
+    for options in ({"similarity": 0.8}, {"radius": 0}):
+        kept = sorted((r.doc_id or 0, r.text) for r in simhash.keep_first(rows, **options).collect())
+        expected = [(i or 0, t) for i, t in zip(ids, texts, strict=True)]
+        if "similarity" in options:
+            expected[0] = (9, near)
+        else:
+            expected.append((9, near))
+        assert kept == sorted(expected)
