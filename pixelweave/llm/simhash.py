@@ -13,9 +13,11 @@ are split into parts, and each pair of parts is a task of its own: nothing is dr
 
 By similarity (the share of common shingles, repeats left out, of 0.8 say) bits that guarantee the radius would make keys
 that all documents share, so there buckets are bands of ROWS min-hashes each: a pair of similarity s shares one of BANDS with
-probability 1 - (1 - s^ROWS)^BANDS, 99.8 % at 0.8. Fingerprints are of the distinct shingles there. Pairs pass the bit-sliced radius and then a sketch of the
-shingle sets (the least hash of each of BINS bins, 4 bits of it), whose estimate has a deviation of about 0.025 at 0.8 for long
-texts and less for short ones.
+probability 1 - (1 - s^ROWS)^BANDS, 99.8 % at 0.8. Fingerprints, bands and sketches are of the distinct shingles there. Pairs
+within the bit-sliced radius whose sketches (the least hash of each of BINS bins, 4 bits of it) agree to the similarity less
+SLACK, four deviations of the estimate, are candidates, and only these are decided, by their exact shingle sets: the sets of
+texts with a candidate are made again and brought together by loose component (by band where a component is hot), and every
+candidate pair there that verified links don't join yet is compared. A pair that fails ends nothing, so no link is lost by it.
 
 A null text has no words; texts without words have fingerprint 0 and are linked like any other. A document with a null id
 gets a component by the other ids (null if there are none). The row that stays of a group is the one with the least (id, hash of
@@ -37,12 +39,14 @@ from xxhash import xxh64_intdigest
 from .common import as_bytes, materialize, mix, pieces
 from .graph import components
 
-#: Largest bucket that one task compares at once; rows that a task holds.
-HOT, HELD = 4096, 1 << 18
+#: Largest bucket that one task compares at once; rows, and bytes of shingle sets, that a task holds.
+HOT, HELD, HELD_BYTES = 4096, 1 << 18, 48 << 20
 BITS = 64
 #: Min-hash bands, min-hashes a band, bins of the sketch; bits of 64 that a pair by similarity may differ in.
 BANDS, ROWS, BINS = 12, 4, 256
-NEAR = 20
+NEAR = 24
+#: What a sketch's estimate may lie under the similarity; bits of the bitmap that finds the texts with a candidate.
+SLACK, MARKS = 0.1, 1 << 25
 
 
 def shingle_hashes(text: bytes, width: int, seed: int) -> list[int]:
@@ -114,27 +118,45 @@ def alike(x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
     return same >= similarity * used
 
 
-def fingerprints(docs: DataFrame, *, width: int = 5, seed: int = 42, sets: bool = False, text_hash: bool = False) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long); sets: also the band keys, the sketch, and node, a hash of all three; text_hash: also a hash of the text."""
+def share(x: np.ndarray, y: np.ndarray) -> float:
+    """Similarity of two shingle sets, as sorted arrays of distinct hashes."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / max(1, len(x) + len(y) - both)
+
+
+def fingerprints(docs: DataFrame, *, width: int = 5, seed: int = 42, sets: bool = False, text_hash: bool = False, only: np.ndarray | None = None) -> DataFrame:
+    """doc_id and fp (the fingerprint as a signed long).
+
+    sets: of distinct shingles; also the band keys, the sketch, and node, a hash of the set. text_hash: also a hash of the text.
+    only: the rows whose nodes are in this bitmap, with their sets (shingles).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, 1, 1 << 20):
                 hashes = [shingle_hashes(x, width, seed) for x in as_bytes(piece.column(1))]
+                columns = {}
                 if sets:
                     hashes = [np.unique(np.array(x, np.uint64)) for x in hashes]
-                fp = majority(hashes)
-                columns = {"doc_id": piece.column(0), "fp": pa.array(fp.view(np.int64))}
-                if sets:
+                    node = np.array([xxh64_intdigest(x.tobytes()) for x in hashes], np.uint64)
+                    if only is not None:
+                        slot = (node & np.uint64(MARKS - 1)).astype(np.int64)
+                        marked = np.flatnonzero(only[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+                        if not len(marked):
+                            continue
+                        piece, hashes, node = piece.take(pa.array(marked)), [hashes[i] for i in marked], node[marked]
                     bands, sketch = min_bands(hashes, seed), sketches(hashes)
-                    node = [xxh64_intdigest(a.tobytes() + b.tobytes() + c.tobytes()) for a, b, c in zip(fp, bands, sketch, strict=True)]
                     keys = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32)), pa.array(bands.view(np.int64).ravel()))
-                    columns |= {"node": pa.array(np.array(node, np.uint64).view(np.int64)), "sketch": pa.array([x.tobytes() for x in sketch], pa.binary()), "keys": keys}
+                    columns = {"node": pa.array(node.view(np.int64)), "sketch": pa.array([x.tobytes() for x in sketch], pa.binary()), "keys": keys}
+                    if only is not None:
+                        columns["shingles"] = pa.array([x.tobytes() for x in hashes], pa.binary())
+                columns = {"doc_id": piece.column(0), "fp": pa.array(majority(hashes).view(np.int64))} | columns
                 if text_hash:
                     columns["text_hash"] = piece.column(2)
                 yield pa.RecordBatch.from_pydict(columns)
 
-    return docs.select("doc_id", "text", *[F.xxhash64("text").alias("text_hash")] * text_hash).mapInArrow(run, "doc_id bigint, fp bigint" + ", node bigint, sketch binary, keys array<bigint>" * sets + ", text_hash bigint" * text_hash)
+    schema = "doc_id bigint, fp bigint" + ", node bigint, sketch binary, keys array<bigint>" * sets + ", shingles binary" * (only is not None) + ", text_hash bigint" * text_hash
+    return docs.select("doc_id", "text", *[F.xxhash64("text").alias("text_hash")] * text_hash).mapInArrow(run, schema)
 
 
 def block_plan(n: int, radius: int) -> list[tuple[list[tuple[int, int]], ...]]:
@@ -225,8 +247,9 @@ def _above(counters: list[np.ndarray], radius: int):
     return more
 
 
-def forest(key: np.ndarray, fp: np.ndarray, radius: int, sketch: np.ndarray | None = None, similarity: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-    """Links (row, root) that join what is within the radius (and alike by sketches) in each bucket. Rows are sorted by key."""
+def forest(key: np.ndarray, fp: np.ndarray, radius: int, sketch: np.ndarray | None = None, similarity: float = 0.0, shingles: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links (row, root) that join what is within the radius in each bucket, and with sketches, candidates for the similarity;
+    with shingles (each row's set as bytes), just what has the similarity. Rows are sorted by key."""
     n = len(key)
     root = np.arange(n)
     cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
@@ -246,7 +269,10 @@ def forest(key: np.ndarray, fp: np.ndarray, radius: int, sketch: np.ndarray | No
                 a, b = rows[some], rows[some + d]
                 if sketch is not None:
                     apart = np.flatnonzero(root[a] != root[b])
-                    apart = apart[alike(sketch[a[apart]], sketch[b[apart]], similarity)]
+                    apart = apart[alike(sketch[a[apart]], sketch[b[apart]], similarity - SLACK)]
+                    if shingles is not None:
+                        exact = (share(np.frombuffer(shingles[x], np.uint64), np.frombuffer(shingles[y], np.uint64)) for x, y in zip(a[apart], b[apart], strict=True))
+                        apart = apart[np.fromiter(exact, float, len(apart)) >= similarity - 1e-12]
                     a, b = a[apart], b[apart]
                 _merge(root, a, b)
             d += 1
@@ -270,29 +296,36 @@ def _merge(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             root[:] = up
 
 
-def _links(radius: int, hot: int, similarity: float | None = None):
-    """Rows (key, fp) or (key, node, fp, sketch) sorted by key to links (u, v) of kind 0, and the rows of hot buckets as kind 1."""
-    names = ["u", "v"] if similarity is None else ["u", "v", "fp", "sketch"]
+def _links(radius: int, hot: int, similarity: float | None = None, exact: bool = False, most_bytes: int = HELD_BYTES):
+    """Rows (key, fp), (key, node, fp, sketch) or with exact, (key, node, fp, sketch, shingles), sorted by key, to links (u, v) of
+    kind 0, and the rows of hot buckets as kind 1."""
+    names = (["u", "v"] if similarity is None else ["u", "v", "fp", "sketch"]) + ["shingles"] * exact
     held_most = HELD if similarity is None else HELD // 4
 
     def emit(kind, rows):
-        columns = [pa.array(x) if x.ndim == 1 else pa.array([y.tobytes() for y in x], pa.binary()) for x in rows]
+        columns = [pa.array(x, pa.binary() if x.dtype == object else None) if x.ndim == 1 else pa.array([y.tobytes() for y in x], pa.binary()) for x in rows]
         n = len(rows[0])
-        columns += [pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary())[len(columns) : len(names)]]
+        columns += [pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())[len(columns) : len(names)]]
         return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *columns], names=["kind", *names])
 
     def join(kept):
         return [np.concatenate(x) for x in zip(*kept, strict=True)]
 
+    def weigh(rows):
+        return np.fromiter(map(len, rows[4]), np.int64, len(rows[4]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, held = [], 0
+        kept, held, held_bytes = [], 0, 0
         passed = None  # a hot key of which rows have already been passed on
 
         def work(rows):
             key = rows[0]
             cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
             size = np.diff(cuts)
-            big = np.repeat(size, size) > hot
+            large = size > hot
+            if exact and len(key):
+                large |= (size > 1) & (np.add.reduceat(weigh(rows), cuts[:-1]) > most_bytes)
+            big = np.repeat(large, size)
             if passed is not None:
                 big |= key == passed
             if big.any():
@@ -302,25 +335,30 @@ def _links(radius: int, hot: int, similarity: float | None = None):
                 if similarity is None:
                     u, v = forest(rows[0], rows[1].view(np.uint64), radius)
                 else:
-                    u, v = forest(rows[0], rows[2].view(np.uint64), radius, rows[3], similarity)
+                    u, v = forest(rows[0], rows[2].view(np.uint64), radius, rows[3], similarity, *rows[4:])
                 yield emit(0, [rows[1][u], rows[1][v]])
 
         for batch in batches:
             rows = [x.to_numpy() for x in batch.columns[:3]]
             if similarity is not None:
                 rows.append(np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, BINS // 2))
+            if exact:
+                rows.append(batch.column(4).to_numpy(zero_copy_only=False))
+                held_bytes += int(weigh(rows).sum())
             kept.append(rows)
             held += batch.num_rows
-            if held >= held_most:
+            if held >= held_most or held_bytes >= most_bytes:
                 rows = join(kept)
                 k = rows[0]
                 cut = int(np.searchsorted(k, k[-1]))  # the last key's rows may go on
                 yield from work([x[:cut] for x in rows])
-                if len(k) - cut > hot or k[-1] == passed:
+                rest = [x[cut:] for x in rows]
+                left = int(weigh(rest).sum()) if exact else 0
+                if len(k) - cut > hot or (left > most_bytes and len(k) - cut > 1) or k[-1] == passed:
                     passed = k[-1]
-                    yield emit(1, [x[cut:] for x in rows])
-                    cut = len(k)
-                kept, held = [[x[cut:] for x in rows]], len(k) - cut
+                    yield emit(1, rest)
+                    rest, left = [x[:0] for x in rest], 0
+                kept, held, held_bytes = [rest], len(rest[0]), left
         if held:
             yield from work(join(kept))
 
@@ -341,29 +379,51 @@ def fingerprint_links(distinct: DataFrame, radius: int = 4, hot: int = HOT) -> D
 
 
 def _bucket_links(keyed: DataFrame, radius: int, hot: int, similarity: float | None) -> DataFrame:
-    """Links (u, v) from rows (key, fp) or (key, node, fp, sketch)."""
+    """Links (u, v) from rows (key, fp), (key, node, fp, sketch) or (key, node, fp, sketch, shingles)."""
     node, *more = keyed.columns[1:]
-    schema = "kind int, u bigint, v bigint" + ", fp bigint, sketch binary" * bool(more)
+    exact = "shingles" in more
+    schema = "kind int, u bigint, v bigint" + ", fp bigint, sketch binary" * bool(more) + ", shingles binary" * exact
 
-    def search(rows, most):
-        return rows.repartition("key").sortWithinPartitions("key", node).mapInArrow(_links(radius, most, similarity), schema)
+    def search(rows, *most):
+        return rows.repartition("key").sortWithinPartitions("key", node).mapInArrow(_links(radius, most[0], similarity, exact, *most[1:]), schema)
 
     found = materialize(search(keyed, hot), "simhash-links")
     links = found.where("kind = 0").select("u", "v")
     rows = found.where("kind = 1").select(F.col("u").alias("key"), F.col("v").alias(node), *more)
     if rows.isEmpty():
         return links
-    parts = rows.groupBy("key").agg(F.ceil(F.count("*") * 2 / hot).cast("int").alias("parts"))
+    load = F.greatest(F.count("*") / hot, F.sum(F.octet_length("shingles")) / HELD_BYTES) if exact else F.count("*") / hot
+    parts = rows.groupBy("key").agg(F.ceil(load * 2).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64(node), F.col("parts")).cast("int")
     pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(j, "part").alias("a"), F.greatest(j, "part").alias("b"))))
-    split = rows.join(parts, "key").withColumn("part", part).select("key", node, *more, "part", pairs.alias("p")).where("p.a < p.b")
-    return links.union(search(split.select(F.xxhash64("key", "p.a", "p.b").alias("key"), node, *more), 1 << 62).select("u", "v"))
+    split = rows.join(parts, "key").withColumn("part", part).select("key", node, *more, "part", pairs.alias("p")).where("p.a < p.b or parts = 1")
+    return links.union(search(split.select(F.xxhash64("key", "p.a", "p.b").alias("key"), node, *more), 1 << 62, 1 << 62).select("u", "v"))
+
+
+def _bitmap(nodes: DataFrame) -> np.ndarray:
+    """MARKS bits, those of the nodes' last bits set: never misses one, however many there are."""
+    slot = F.col("node").bitwiseAND(F.lit(MARKS - 1)) + 1
+    out = np.zeros(MARKS >> 3, np.uint8)
+    for r in nodes.groupBy(F.bitmap_bucket_number(slot).alias("i")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect():
+        out[(r.i - 1) * len(r.bits) : r.i * len(r.bits)] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def similar_links(docs: DataFrame, prints: DataFrame, similarity: float, hot: int, **options) -> DataFrame:
+    """Links (u, v) between the nodes of texts, that connect those whose shingle sets have the similarity."""
 
+    def distinct(rows, *columns):
+        return rows.groupBy("node").agg(*(F.first(c).alias(c) for c in columns))
 
-def similar_links(prints: DataFrame, similarity: float, hot: int) -> DataFrame:
-    """Links (u, v) between the nodes of texts that are alike."""
-    distinct = prints.groupBy("node").agg(*(F.first(c).alias(c) for c in ("fp", "sketch", "keys")))
-    return _bucket_links(distinct.select(F.explode("keys").alias("key"), "node", "fp", "sketch"), NEAR, hot, similarity)
+    loose = distinct(prints, "fp", "sketch", "keys").select(F.explode("keys").alias("key"), "node", "fp", "sketch")
+    roots = materialize(components(_bucket_links(loose, NEAR, hot, similarity)), "simhash-candidates")
+    if roots.isEmpty():
+        return roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+    again = distinct(fingerprints(docs, sets=True, only=_bitmap(roots), **options), "fp", "sketch", "keys", "shingles")
+    sizes = roots.groupBy("root").agg(F.count("*").alias("n"))
+    key = F.explode(F.when(F.col("n") > hot, F.col("keys")).otherwise(F.array("root"))).alias("key")
+    held = again.join(roots, "node").join(sizes, "root").select(key, "node", "fp", "sketch", "shingles")
+    return _bucket_links(held, NEAR, hot, similarity)
 
 
 def _linked(docs: DataFrame, *, width: int = 5, radius: int = 4, seed: int = 42, hot: int = HOT, similarity: float | None = None, text_hash: bool = False) -> tuple[DataFrame, str, DataFrame]:
@@ -372,7 +432,7 @@ def _linked(docs: DataFrame, *, width: int = 5, radius: int = 4, seed: int = 42,
     if similarity is None:
         node, links = "fp", fingerprint_links(prints.select("fp").distinct(), radius, hot)
     else:
-        node, links = "node", similar_links(prints, similarity, hot)
+        node, links = "node", similar_links(docs, prints, similarity, hot, width=width, seed=seed)
     return prints, node, components(links).select(F.col("node").alias(node), "root")
 
 

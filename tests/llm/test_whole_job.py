@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from test_operators import SCHEMA, grouped, shingle_set
 
 from pixelweave.llm import simhash
@@ -34,6 +35,22 @@ def test_repeated_lines_do_not_part_near_duplicates(spark):
     assert components(spark, texts) == expected
 
 
+@pytest.mark.parametrize("hot", [4096, 3])
+def test_similarity_is_exact(spark, hot):
+    """Pairs from just under to just over 0.8, and groups where a near miss lies between what is alike."""
+    rng = random.Random(9)
+    texts = []
+    for n in (60, 300, 1500):
+        for k in range(16):
+            base = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+            for _ in range(1 + k % 3):
+                gone = round(n * (0.09 + 0.002 * k))
+                texts.append(" ".join(base[gone:] + [f"x{rng.randrange(10**6)}" for _ in range(gone)]))
+            texts.append(" ".join(base))
+    expected = by_force(texts)
+    assert components(spark, texts, hot=hot) == expected
+
+
 def test_survivors_of_rows_without_own_ids(spark):
     rng = random.Random(2)
     texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(80)) for _ in range(12)]
