@@ -25,7 +25,8 @@ def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sharding.shuffle_shards(sharding.digests(table(spark, sf_dir, "documents")), shards=24)
+    shards = sharding.write_shards(table(spark, sf_dir, "documents"), run_dir(spark, "shards"), shards=24)
+    rows = sharding.digests(shards, "shard", "slot", "grown_shard")
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 

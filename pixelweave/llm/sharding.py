@@ -1,24 +1,27 @@
 """Operator 4 [native]: seeded two-pass external shuffle into shards.
 
 Pass one scatters records: the shard is the winner of seeded rendezvous hashing of (id, shard), so the id and the shard
-count alone decide, and one more shard only takes rows into itself (law ``key``). A second seeded hash of the id spreads
-each shard's rows evenly over memory-sized buckets. Pass two sorts a bucket's rows by id, Fisher-Yates shuffles them
-(Spark's ``shuffle``), and numbers them after the buckets before it. Only ids and the given columns are moved.
+count alone decide, and one more shard only takes rows into itself (law ``key``). A second seeded hash, of the whole row,
+spreads each shard's rows evenly over buckets, as many as its rows and bytes ask for. Pass two sorts a bucket's rows by that
+hash, Fisher-Yates shuffles them (Spark's ``shuffle``), numbers them after the buckets before it, and writes them, whole.
 
-No group is ever larger than a bucket (ids are spread by hash, so equal texts and hot sources don't meet in one task).
-Rows with one id share a shard; repeated rows spread over buckets by a hash of a random-free row digest and keep separate
-slots. A null id hashes as any value. An empty table gives an empty result.
+Rows with one id share a shard, which then has more buckets, not larger ones. Identical rows are numbered and spread by that
+number too, so they don't meet in a bucket; they keep separate slots. A bucket is only ever larger than its size by chance or by
+a single row. A null id hashes as any value. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows of a bucket, on average: a few MB of ids and digests.
-BUCKET_ROWS = 20_000
+from .common import materialize
+
+#: Rows and bytes of a bucket at most, on average.
+BUCKET_ROWS, BUCKET_BYTES = 20_000, 8 << 20
 SEED = 42
 
 
@@ -27,28 +30,67 @@ def rendezvous(key, shards: int, seed: int = SEED):
     return F.array_max(F.array(*(F.struct(F.xxhash64(F.lit(seed), F.lit(s), key).alias("h"), F.lit(s).alias("s")) for s in range(shards))))["s"]
 
 
-def shuffle_shards(rows: DataFrame, *, id_col: str = "doc_id", shards: int = 24, seed: int = SEED, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def _row_bytes(rows: DataFrame):
+    """Bytes of a row's values, about."""
+    total = F.lit(0).cast("bigint")
+    for field in rows.schema:
+        c = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, T.StringType | T.BinaryType):
+            total = total + F.coalesce(F.octet_length(c), F.lit(0)) + 8
+        elif isinstance(field.dataType, T.ArrayType | T.MapType | T.StructType):
+            total = total + F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) + 8
+        else:
+            total = total + 8
+    return total
+
+
+def _numbered_copies(keyed: DataFrame) -> DataFrame:
+    """The rows, with h of identical ones made different by their numbers."""
+    repeated = materialize(keyed.groupBy("h", "h2").agg(F.count("*").alias("n")).where("n > 1"), "repeated-rows")
+    if repeated.isEmpty():
+        return keyed
+    copies = keyed.join(repeated, ["h", "h2"]).dropDuplicates(["h", "h2"]).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "n")))
+    return keyed.join(repeated, ["h", "h2"], "left_anti").unionByName(copies.withColumn("h", F.xxhash64("h", "copy")).select(keyed.columns))
+
+
+def shuffle_shards(rows: DataFrame, *, id_col: str = "doc_id", shards: int = 24, seed: int = SEED, bucket_rows: int = BUCKET_ROWS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """The rows with shard, slot (gapless from 0 in each shard) and grown_shard (with one more shard).
 
     Columns of these names in the input give way.
     """
     rows = rows.drop("shard", "slot", "grown_shard")
     own = F.struct(*(F.col(f"`{c}`") for c in rows.columns))
-    buckets = max(1, math.ceil(rows.count() / (shards * bucket_rows)))
     key = F.coalesce(F.col(id_col).cast("string"), F.lit("\0"))
-    scattered = rows.select(rendezvous(key, shards, seed).alias("shard"), rendezvous(key, shards + 1, seed).alias("grown_shard"), F.xxhash64(F.lit(seed), F.lit("order"), key, own).alias("h"), own.alias("row"))
-    scattered = scattered.withColumn("bucket", F.pmod("h", F.lit(buckets)).cast("int"))
+    shard = rendezvous(key, shards, seed)
+    buckets = [1] * shards
+    for r in rows.select(shard.alias("s"), _row_bytes(rows).alias("b")).groupBy("s").agg(F.count("*").alias("n"), F.sum("b").alias("b")).collect():
+        buckets[r.s] = max(1, math.ceil(r.n / bucket_rows), math.ceil(r.b / bucket_bytes))
+    h, h2 = (F.xxhash64(F.lit(seed), F.lit(what), key, own) for what in ("order", "copy"))
+    keyed = rows.select(shard.alias("shard"), rendezvous(key, shards + 1, seed).alias("grown_shard"), h.alias("h"), h2.alias("h2"), own.alias("row"))
+    of_shard = F.element_at(F.array(*map(F.lit, buckets)), F.col("shard") + 1)
+    scattered = _numbered_copies(keyed).withColumn("bucket", F.pmod("h", of_shard).cast("int"))
     item = F.struct("h", "grown_shard", "row")
-    filled = scattered.groupBy("shard", "bucket").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    filled = scattered.repartition(sum(buckets), "shard", "bucket").groupBy("shard", "bucket").agg(F.sort_array(F.collect_list(item)).alias("items"))
     dealt = filled.select("shard", "bucket", F.shuffle("items", F.lit(seed)).alias("items"))
     sizes = scattered.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    out = dealt.join(offsets, ["shard", "bucket"]).select("shard", "offset", F.posexplode("items").alias("at", "item"))
+    out = dealt.join(F.broadcast(offsets), ["shard", "bucket"]).select("shard", "offset", F.posexplode("items").alias("at", "item"))
     return out.select("item.row.*", "shard", (F.col("offset") + F.col("at")).alias("slot"), F.col("item.grown_shard").alias("grown_shard"))
 
 
-def digests(docs: DataFrame):
-    """doc_id, size (UTF-8 bytes and 8; null has none) and crc32 of the text."""
+def write_shards(rows: DataFrame, path: str, **options) -> DataFrame:
+    """Write the shuffled rows, a folder for each shard and a file for each task's buckets of it, in order of slots; read them back."""
+    out = shuffle_shards(rows, **options)
+    out.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    return read_shards(rows.sparkSession, path, out.schema)
+
+
+def read_shards(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    return spark.read.schema(schema).parquet(path)
+
+
+def digests(docs: DataFrame, *more: str):
+    """doc_id, size (UTF-8 bytes and 8; null has none), crc32 of the text, and the given columns."""
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return docs.select("doc_id", (F.octet_length(raw) + 8).cast("bigint").alias("size"), F.crc32(raw).alias("text_crc32"))
+    return docs.select("doc_id", (F.octet_length(raw) + 8).cast("bigint").alias("size"), F.crc32(raw).alias("text_crc32"), *more)

@@ -1,11 +1,12 @@
 """Rows that the operators once lost or wrongly kept, against brute force."""
 
+import os
 import random
 
 import pytest
 from test_operators import SCHEMA, grouped, shingle_set
 
-from pixelweave.llm import simhash
+from pixelweave.llm import queries, sharding, simhash
 
 
 def table(spark, texts, ids=None):
@@ -65,3 +66,22 @@ def test_survivors_of_rows_without_own_ids(spark):
         else:
             expected.append((9, near))
         assert kept == sorted(expected)
+
+
+def test_shards_hold_whole_documents(spark, tmp_path, monkeypatch):
+    """The query's shards are files of whole documents, and one row many times over is spread over buckets."""
+    texts = [f"text {i} " * (1 + i) for i in range(40)] + ["the same row"] * 60
+    rows = table(spark, texts, [*range(40), *[7] * 60])
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    path = str(tmp_path / "shards")
+    monkeypatch.setattr(queries, "run_dir", lambda *_: path)
+    got = queries.op4_sharding(spark, str(tmp_path)).collect()
+    held = spark.read.parquet(path).collect()
+    assert sorted((r.doc_id, r.text) for r in held) == sorted(zip([*range(40), *[7] * 60], texts, strict=True))
+    assert {(r.doc_id, r.shard, r.slot) for r in got} == {(r.doc_id, r.shard, r.slot) for r in held} and len(got) == 100
+    small = sharding.write_shards(rows, str(tmp_path / "small"), shards=2, bucket_bytes=1000)
+    slots = {s: sorted(r.slot for r in small.collect() if r.shard == s) for s in (0, 1)}
+    assert sum(map(len, slots.values())) == 100 and all(v == list(range(len(v))) for v in slots.values())
+    assert sum(f.endswith(".parquet") for _, _, files in os.walk(tmp_path / "small") for f in files) > 4  # more than one bucket a shard
+    keyed = sharding._numbered_copies(rows.selectExpr("0 shard", "xxhash64(doc_id, text) h", "xxhash64(text, doc_id) h2", "text"))
+    assert keyed.count() == keyed.select("h").distinct().count() == 100
