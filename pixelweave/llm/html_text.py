@@ -120,10 +120,16 @@ def tag_counts(page: str) -> Counter | None:
 
 
 def weights(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
-    """Weights by key from (inside, outside) counts; a name's counts outside the element tell about both of its keys."""
+    """Weights by key from (inside, outside) counts, and as "any X", of a name's counts inside and outside together, for pages
+    that don't name their content."""
     inside, outside = sum(a for a, _ in counts.values()), sum(b for _, b in counts.values())
     out = {}
+    both: dict[str, tuple[int, int]] = {}
     for key, (a, b) in counts.items():
+        name = "any " + key.removeprefix("core ")
+        x, y = both.get(name, (0, 0))
+        both[name] = (x + a, y + b)
+    for key, (a, b) in (counts | both).items():
         out[key] = max(LEAST, min(MOST, math.log((a + 1) / (inside + 1)) - math.log((b + 1) / (outside + 1))))
     return out
 
@@ -131,12 +137,15 @@ def weights(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
 def main_text(page: str, weight: dict[str, float]) -> str:
     """The best region's text: scan once, keep the best sum that ends here and the best so far (the longest of equals)."""
     items = parse(page)
+    named = any(key == "edge" for _, key, _, _ in items)
     best, span, total, start = 0.0, (0, 0), 0.0, 0
     for i, (text, key, skip, _) in enumerate(items):
         if text is not None:
             total += 0 if skip else len(text.split())
         elif key == "skip" or key == "raw":
             total += MOST
+        elif not named:
+            total += weight.get("any " + key, UNSEEN)
         else:
             total += LEAST if key == "edge" else weight.get(key, MOST if key.startswith("core ") else UNSEEN)
         if total <= 0:
