@@ -1,32 +1,41 @@
 """Operator 5 [native]: documents that hold benchmark items, by SimHash of item-sized windows.
 
-Words are lower-cased; a shingle is 5 consecutive words (an item of fewer words is one shingle). A window has as many words
-as the item (the whole document where that is shorter). A document holds an item if one of its windows has a weighted
-Jaccard similarity (shingle counts) of at least ``similarity`` to it, their SimHashes being within ``radius``.
-
-Sliding a window right to its first shingle of the item never lowers the similarity, so windows start there (or end with
-the document). A window that shares too few shingles with the item for the similarity isn't fingerprinted. The others'
-fingerprints are looked up in a multi-index: radius + 1 blocks of bits, one of which is equal in any two fingerprints
-within the radius; candidates at the first equal block pass the Hamming check, then the exact similarity.
-
-Everything up to the last aggregation runs in the scan's stage: the benchmark's shingles are broadcast, at most
-``BROADCAST`` of them at a time (a larger benchmark is cut into such blocks, each matched against all documents).
-Null or empty texts and items have no shingles and match nothing. Repeated rows give one result. A null id is an id.
+Words are lower-cased; a shingle is 5 consecutive words (an item of fewer words is one shingle). A window has as many shingles
+as an item (the whole document where that has fewer). A document holds an item if one of its windows has a weighted Jaccard
+similarity (shingle counts) of at least ``similarity`` to it, their SimHashes being within ``radius``.
+
+Windows of every item size are fingerprinted where they may match at all. Sliding a window right to its first shingle of an
+item never lowers the similarity to that item, so these are the windows that start with a shingle that some item of the size
+has (or end with the document). The windows know nothing of the items: the fingerprint alone finds these, in a multi-index of
+blocks of bits. Two fingerprints within the radius differ by no more than ``radius // blocks`` bits in one block at least, so
+each block is looked up with all patterns so near; blocks are as many as cost least for the number of items. What is found passes
+the whole Hamming distance and then the exact similarity.
+
+Everything up to the last aggregation runs in the scan's stage, with broadcast tables whose sizes are measured and bounded: a
+benchmark of over ``broadcast`` shingles is cut into blocks of at most that many, each matched against all documents. An item
+that is longer alone is a block alone: its size is the only one that isn't bounded, and is linear.
+
+Null or empty texts and items have no shingles and match nothing. Repeated rows give one result. A null id is an id. Items that
+share an id but not the text are items of their own. Of windows with one similarity the first counts, then the nearest print.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
+from math import comb
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, packed, unpacked
 
-WIDTH, SIMILARITY, RADIUS = 5, 0.8, 20
+WIDTH, SIMILARITY, RADIUS = 5, 0.8, 16
 #: Shingles of the benchmark that are broadcast at once (a few tens of MB).
 BROADCAST = 500_000
 BITS = 64
+#: Patterns of a block that a look-up may ask for.
+PATTERNS = 1500
 
 
 def words(text: Column) -> Column:
@@ -38,77 +47,128 @@ def shingles(hashed: Column, width: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(hashed) - width), lambda i: F.xxhash64(*(F.get(hashed, i + j) for j in range(width)))) if width > 1 else hashed
 
 
-def fingerprint(values: Column) -> Column:
-    """Bit i is set where over half of the values have it."""
-    ones = lambda b: F.aggregate(values, F.lit(0).cast("bigint"), lambda n, x: n + F.call_function("shiftrightunsigned", x, b).bitwiseAND(F.lit(1).cast("bigint")))
-    bit = lambda b: F.when(2 * ones(b) > F.size(values), F.call_function("shiftleft", F.lit(1).cast("bigint"), b)).otherwise(F.lit(0).cast("bigint"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(BITS - 1)), F.lit(0).cast("bigint"), lambda all_bits, b: all_bits.bitwiseOR(bit(b)))
+def fingerprint(values: Column, most: int) -> Column:
+    """Bit i is set where over half of the values, of which there are at most ``most``, have it. A pass over the values counts as
+    many bits as a long has room for."""
+    lane = next(b for b in (8, 16, 32) if most < 1 << b)
+    mask = F.lit(sum(1 << i for i in range(0, BITS, lane))).cast("bigint")
+    zero = F.lit(0).cast("bigint")
+    half = F.shiftright(F.size(values), 1).cast("bigint")
+    out = zero
 
+    def counted(j: int) -> Column:  # the bits j, j + lane, j + 2 lane ...
+        return F.aggregate(values, zero, lambda n, x: n + F.shiftrightunsigned(x, j).bitwiseAND(mask))
 
-def blocks(fp: Column, n: int) -> list[Column]:
+    for j in range(lane):
+        counts = counted(j)
+        for i in range(0, BITS, lane):
+            count = F.shiftrightunsigned(counts, i).bitwiseAND(F.lit((1 << lane) - 1).cast("bigint"))
+            out = out.bitwiseOR(F.when(count > half, F.lit(_signed(1 << (i + j)))).otherwise(zero))
+    return out
+
+
+def _signed(value: int) -> int:
+    return value - (1 << BITS) if value >> (BITS - 1) else value
+
+
+def blocks(fp: Column, n: int) -> list[tuple[Column, int]]:
+    """n blocks of bits, and how many bits each has."""
     cut = [BITS * i // n for i in range(n + 1)]
-    return [F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    return [(F.shiftrightunsigned(fp, a).bitwiseAND(F.lit(_signed((1 << (b - a)) - 1))), b - a) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+
+def block_plan(items: float, radius: int) -> int:
+    """The number of blocks whose look-ups and candidates are fewest for so many items of a size."""
+    best = None
+    for n in range(1, BITS + 1):
+        widths = [BITS * (i + 1) // n - BITS * i // n for i in range(n)]
+        asked = [sum(comb(w, k) for k in range(min(w, radius // n) + 1)) for w in widths]
+        cost = sum(a + a * items / 2.0**w for a, w in zip(asked, widths, strict=True))
+        if max(asked) <= PATTERNS and (best is None or cost < best[0]):
+            best = cost, n
+    return best[1]
+
+
+def _counted_twice(values: Column) -> Column:
+    """The distinct values that a list has more than once."""
+    in_order = F.sort_array(values)
+    return F.array_distinct(F.filter(in_order, lambda x, i: (i > 0) & (F.get(in_order, i - 1) == x)))
 
 
 def similarity_of(a: Column, b: Column) -> Column:
-    """Weighted Jaccard similarity of two shingle lists."""
+    """Weighted Jaccard similarity of two shingle lists; values that both have once are counted in one pass."""
     count = lambda values, x: F.size(F.filter(values, lambda y: y == x))
-    both = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda n, x: n + F.least(count(a, x), count(b, x)))
+    more = F.aggregate(F.array_intersect(_counted_twice(a), _counted_twice(b)), F.lit(0), lambda n, x: n + F.least(count(a, x), count(b, x)) - 1)
+    both = F.size(F.array_intersect(a, b)) + more
     return both / (F.size(a) + F.size(b) - both)
 
 
-def _items(benchmark: DataFrame, width: int, similarity: float) -> DataFrame:
-    """item_id, n_words, width, item (shingles), item_fp, slack: how many shingles may be missing from the distinct ones."""
+def _items(benchmark: DataFrame, width: int) -> DataFrame:
+    """item (a number), item_id, width and values (shingles), n of them."""
     rows = benchmark.select("item_id", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("h")).dropDuplicates().where(F.size("h") > 0)
-    rows = rows.select("item_id", "h", F.size("h").alias("n_words"), F.least(F.size("h"), F.lit(width)).alias("width"))
+    rows = rows.withColumn("width", F.least(F.size("h"), F.lit(width)))
     own = reduce(lambda c, k: c.when(F.col("width") == k, shingles(F.col("h"), k)), range(1, width + 1), F.when(F.lit(False), F.lit(None)))
-    rows = materialize(rows.select("item_id", "n_words", "width", own.alias("item")), "benchmark-items")
-    return materialize(rows.withColumn("item_fp", fingerprint(F.col("item"))), "benchmark-prints")
+    return materialize(rows.select(F.monotonically_increasing_id().alias("item"), "item_id", "width", own.alias("values")).withColumn("n", F.size("values")), "benchmark-items")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH, similarity: float = SIMILARITY, radius: int = RADIUS, broadcast: int = BROADCAST) -> DataFrame:
     """(doc_id, text_hash, item_id, start, n_words, distance, similarity): the best window of each document and item."""
-    items = _items(benchmark, width, similarity)
-    total = items.agg(F.sum(F.size("item")).alias("n")).first().n or 0
-    parts = max(1, -(-total // broadcast))
+    items = _items(benchmark, width)
     found = []
-    for part in range(parts):
-        block = items.where(F.pmod(F.xxhash64("item_id", "item_fp"), F.lit(parts)) == part) if parts > 1 else items
-        for k in [r.width for r in block.select("width").distinct().orderBy("width").collect()]:  # at most `width` values
-            found.append(_matches(docs, block.where(F.col("width") == k), k, similarity, radius))
+    for k in range(1, width + 1):
+        of_width = items.where(F.col("width") == k)
+        size = of_width.agg(F.sum("n").alias("total"), F.max("n").alias("most")).first()
+        if size.total:
+            parts = max(1, -(-size.total // broadcast))
+            for part in range(parts):
+                block = of_width.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == part) if parts > 1 else of_width
+                found.append(_matches(docs, block, k, similarity, radius, size.most))
     if not found:
-        found = [_matches(docs, items, width, similarity, radius)]
+        found = [_matches(docs, items, width, similarity, radius, 1)]
     best = F.max(F.struct("similarity", (-F.col("start")).alias("back"), (-F.col("distance")).alias("near"), "n_words")).alias("best")
     out = reduce(DataFrame.unionAll, found).groupBy("doc_id", "text_hash", "item_id").agg(best)
     return out.select("doc_id", "text_hash", "item_id", (-F.col("best.back")).alias("start"), "best.n_words", (-F.col("best.near")).alias("distance"), "best.similarity")
 
 
-def _matches(docs: DataFrame, items: DataFrame, width: int, similarity: float, radius: int) -> DataFrame:
+def windows_of(docs: DataFrame, items: DataFrame, width: int) -> DataFrame:
+    """doc_id, text_hash, start, n (an item size), window (shingles): those that may match an item of that size."""
     hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("h")).where(F.size("h") >= width)
     listed = hashed.select("doc_id", "text_hash", shingles(F.col("h"), width).alias("own"))
-    # windows that start at a shingle of an item of their size
-    anchors = items.select("n_words", F.size("item").alias("n"), F.explode(F.array_distinct("item")).alias("shingle"), F.col("item").alias("near"))
+    begins = items.select("n", F.explode("values").alias("shingle")).groupBy("shingle").agg(F.collect_set("n").alias("sizes"))
     # outer: else Spark infers a filter on the list and pushes it down, with the word hashes made anew for each shingle
-    seen = listed.select("doc_id", "text_hash", "own", F.posexplode_outer("own").alias("at", "shingle")).join(F.broadcast(anchors), "shingle")
+    seen = listed.select("doc_id", "text_hash", "own", F.posexplode_outer("own").alias("at", "shingle")).join(F.broadcast(begins), "shingle")
+    seen = seen.select("doc_id", "text_hash", "own", "at", F.explode("sizes").alias("n"))
     size = F.least(F.col("n"), F.size("own"))
-    seen = seen.withColumn("start", F.least(F.col("at"), F.size("own") - size)).withColumn("window", F.slice("own", F.col("start") + 1, size))
-    least = similarity / (1 + similarity) * (F.size("window") + F.col("n"))
-    shared = F.size(F.array_intersect("window", "near")) + F.size("near") - F.size(F.array_distinct("near"))
-    windows = seen.where(shared >= least - 1e-9).select("doc_id", "text_hash", "start", "n_words", "window")
-    prints = windows.withColumn("fp", fingerprint(F.col("window")))
-    n = radius + 1
-    index = items.select(F.col("n_words").alias("item_words"), F.posexplode(F.array(*blocks(F.col("item_fp"), n))).alias("block", "value"), "item_id", "item", "item_fp")
-    probes = prints.select("*", F.posexplode(F.array(*blocks(F.col("fp"), n))).alias("block", "value"))
-    same = lambda a, b: F.array_position(F.transform(F.arrays_zip(F.array(*blocks(a, n)).alias("a"), F.array(*blocks(b, n)).alias("b")), lambda x: x["a"] == x["b"]), True) - 1
-    pairs = probes.join(F.broadcast(index), (probes.n_words == index.item_words) & (probes.block == index.block) & (probes.value == index.value))
+    return seen.withColumn("start", F.least(F.col("at"), F.size("own") - size)).select("doc_id", "text_hash", "start", "n", F.slice("own", F.col("start") + 1, size).alias("window"))
+
+
+def _matches(docs: DataFrame, items: DataFrame, width: int, similarity: float, radius: int, most: int) -> DataFrame:
+    groups = items.agg(F.count("*").alias("items"), F.count_distinct("n").alias("sizes")).first()
+    n_blocks = block_plan(groups.items / max(1, groups.sizes), radius)
+    near = radius // n_blocks
+    prints = windows_of(docs, items, width).withColumn("fp", fingerprint(F.col("window"), most))
+
+    def asked(block: int, value: Column, bits: int) -> Column:
+        masks = [sum(1 << b for b in own) for k in range(min(near, bits) + 1) for own in combinations(range(bits), k)]
+        return F.transform(F.array(*(F.lit(_signed(m)).cast("bigint") for m in masks)), lambda m: F.struct(F.lit(block).alias("block"), value.bitwiseXOR(m).alias("value")))
+
+    probes = prints.select("*", F.explode(F.concat(*(asked(i, *own) for i, own in enumerate(blocks(F.col("fp"), n_blocks))))).alias("ask"))
+    printed = items.select("item", "item_id", "n", fingerprint(F.col("values"), most).alias("item_fp"))
+    has = F.array(*(F.struct(F.lit(i).alias("block"), value.alias("value")) for i, (value, _) in enumerate(blocks(F.col("item_fp"), n_blocks))))
+    index = materialize(printed, "benchmark-prints").select("item", "item_id", "item_fp", F.col("n").alias("item_n"), F.explode(has).alias("has"))
+    pairs = probes.join(F.broadcast(index), (F.col("n") == F.col("item_n")) & (F.col("ask.block") == F.col("has.block")) & (F.col("ask.value") == F.col("has.value")))
     # coalesce: else Spark infers that fp isn't null, and makes it twice
-    distance = F.bit_count(F.coalesce(F.col("fp"), F.lit(0)).bitwiseXOR(F.col("item_fp")))
-    pairs = pairs.where((distance <= radius) & (probes.block == same(F.coalesce(F.col("fp"), F.lit(0)), F.col("item_fp")))).withColumn("distance", distance)
-    exact = pairs.withColumn("similarity", similarity_of(F.col("window"), F.col("item"))).where(F.col("similarity") >= similarity - 1e-12)
-    return exact.select("doc_id", "text_hash", "item_id", "start", "n_words", "distance", "similarity")
+    apart = F.coalesce(F.col("fp"), F.lit(0)).bitwiseXOR(F.col("item_fp"))
+    # a pair is found in each block that is near enough, and goes on from the first
+    first = F.coalesce(*(F.when(F.bit_count(value) <= near, F.lit(i)) for i, (value, _) in enumerate(blocks(F.col("apart"), n_blocks))))
+    pairs = pairs.withColumn("apart", apart).where((F.bit_count("apart") <= radius) & (first == F.col("ask.block")))
+    pairs = pairs.select("doc_id", "text_hash", "item", "item_id", "start", "n", "window", F.bit_count("apart").alias("distance")).join(F.broadcast(items.select("item", "values")), "item")
+    exact = pairs.withColumn("similarity", similarity_of(F.col("window"), F.col("values"))).where(F.col("similarity") >= similarity - 1e-12)
+    return exact.select("doc_id", "text_hash", "item_id", "start", (F.col("n") + (width - 1)).alias("n_words"), "distance", "similarity")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that hold no item."""
-    found = materialize(matches(docs, benchmark, **options), "leaks").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left_anti")
+    found = materialize(matches(docs, benchmark, **options), "leaks").select(F.col("doc_id").alias("leak_id"), F.col("text_hash").alias("leak_hash")).distinct()
+    rows = docs.select(packed(docs), F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_hash"))
+    return rows.join(found, F.col("own_id").eqNullSafe(F.col("leak_id")) & (F.col("own_hash") == F.col("leak_hash")), "left_anti").select(*unpacked(docs))
