@@ -95,12 +95,12 @@ FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
 _HEX = "CAST('0x' || substr(md5({}), 1, 6) AS BIGINT)"
 SQL["op6_url_filter"] = rf"""
 WITH c AS (SELECT page_id, url, DATE '2024-01-01' + CAST({_HEX.format("url")} % 360 AS INT) AS fetched,
-  lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)) AS host,
+  rtrim(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#]*@)?(\[[^/?#\]]*\]|[^/?#:@\[]+)', 1)), '.') AS host,
   list_filter(string_split(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]+/([^?#]*)', 1), '/'), lambda x: x <> '') AS parts FROM pages),
 k0 AS (SELECT *, string_split(host, '.') AS labels FROM c),
 keys AS (SELECT page_id, url, fetched, host AS key FROM k0 WHERE host <> ''
-  UNION SELECT page_id, url, fetched, array_to_string(labels[i:], '.') FROM k0, range(2, 20) t(i) WHERE host <> '' AND i <= len(labels) - 1
-  UNION SELECT page_id, url, fetched, host || '/' || array_to_string(parts[1:i], '/') FROM k0, range(1, 3) t(i) WHERE host <> '' AND i <= len(parts)),
+  UNION SELECT page_id, url, fetched, array_to_string(labels[i:], '.') FROM (SELECT *, unnest(range(2, len(labels) + 1)) AS i FROM k0) WHERE host <> '' AND NOT regexp_matches(host, '^(\d+\.\d+\.\d+\.\d+|\[.*)$')
+  UNION SELECT page_id, url, fetched, host || '/' || array_to_string(parts[1:i], '/') FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM k0) WHERE host <> ''),
 n AS (SELECT DISTINCT key, {_HEX.format("key")} AS n FROM keys),
 e AS (SELECT key, n % 180 AS d, 'add' AS action, n FROM n WHERE n % 5 < 2 UNION ALL SELECT key, n % 180 + 30 + n % 60, 'remove', n FROM n WHERE n % 5 < 2
   UNION ALL SELECT key, 300 + n % 40, 'add', n FROM n WHERE n % 5 < 2 AND n % 2 = 0),
