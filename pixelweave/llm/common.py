@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import SparkContext
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 #: Java/SQL whitespace class used by every contract here: ASCII space and 0x09 to 0x0D, as bytes.split() has it.
@@ -15,11 +21,13 @@ WORD_CLASS = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir where it is set, else (tests) a temporary one."""
+    """Folder that driver and executors share: spark.checkpoint.dir. Only a local master gets a temporary one where it is unset."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         top = spark.sparkContext.getCheckpointDir()
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         top = tempfile.mkdtemp(prefix="pixelweave-")
         spark.sparkContext.setCheckpointDir(top)
         top = "file://" + top
@@ -30,10 +38,48 @@ def run_dir(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, what: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage and survives lost executors."""
+#: Folders of intermediate tables that this process has written and not removed.
+_written: list[str] = []
+
+
+def remove(paths: list[str]) -> None:
+    """Remove folders of intermediate tables."""
+    context = SparkContext._active_spark_context
+    for path in paths:
+        if context is not None:
+            folder = context._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+        elif path.startswith(("file:", "/")):
+            shutil.rmtree("/" + path.removeprefix("file:").lstrip("/"), ignore_errors=True)
+        if path in _written:
+            _written.remove(path)
+
+
+@contextmanager
+def scratch() -> Iterator[list[str]]:
+    """Intermediate tables written inside are removed at the end, but for the folders put in the list."""
+    before, keep = set(_written), []
+    try:
+        yield keep
+    finally:
+        remove([x for x in _written if x not in before and x not in keep])
+
+
+@atexit.register
+def _remove_all() -> None:
+    try:
+        remove(list(_written))
+    except Exception:  # the session's virtual machine may be gone already
+        return
+
+
+def materialize(df: DataFrame, what: str, keep: list[str] | None = None) -> DataFrame:
+    """Write to the shared folder and read back: cuts lineage and survives lost executors. keep: gets the folder's name."""
     spark = df.sparkSession
     path = run_dir(spark, what)
+    _written.append(path)
+    if keep is not None:
+        keep.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -42,6 +88,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def packed(docs: DataFrame, name: str = "__row") -> Column:
+    """All columns of a table as one, so that no name clashes; ``unpacked`` gives them back."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(name)
+
+
+def unpacked(docs: DataFrame, name: str = "__row") -> list[Column]:
+    return [F.col(name).getField(c).alias(c) for c in docs.columns]
+
+
+#: Keys that are joined by broadcast because they hold the most rows: so many at most.
+HOT_KEYS = 10_000
+
+
+def join_hot(left: DataFrame, right: DataFrame, keys: str | list[str], total: int, count: str = "n", least: int = 1000) -> DataFrame:
+    """left joined with right, of one row a key, whose column ``count`` (dropped) tells the left rows of the key out of total.
+
+    Keys with more than total / HOT_KEYS rows, and ``least`` (so at most HOT_KEYS of them) are broadcast, and their rows never shuffled; no
+    partition gets more of one key than that share.
+    """
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    most = max(least, total // HOT_KEYS)
+    hot = F.broadcast(right.where(F.col(count) > most).drop(count))
+    cold = right.where(F.col(count) <= most).drop(count)
+    rest = left.join(F.broadcast(hot.select(keys)), keys, "left_anti").join(cold, keys)
+    return left.join(hot, keys).unionByName(rest)
+
+
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """Values of a string column as UTF-8, null as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import HOT_KEYS, join_hot, materialize, packed, unpacked
 
 LEVELS = ("domain", "lang", "source")
 SEED = 42
@@ -76,29 +76,30 @@ def budgets(leaves: DataFrame, total: int, weights: dict[str, float], max_epochs
 def plan(rows: DataFrame, *, fraction: float, weights: dict[str, float], max_epochs: int, seed: int = SEED, id_col: str = "doc_id") -> DataFrame:
     """rows: LEVELS, id and tokens. A row per leaf: epochs (whole passes), last (the last order key of the next pass that
     is taken; null if none). Each leaf's part of the work is spread over its hash buckets."""
-    leaves = materialize(rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens")), "leaves")
-    have = leaves.agg(F.sum("tokens").alias("n")).first().n or 0
-    dealt = budgets(leaves, int(have * fraction), weights, max_epochs)
+    leaves = materialize(rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")), "leaves")
+    have = leaves.agg(F.sum("tokens").alias("tokens"), F.sum("n").alias("n")).first()
+    dealt = budgets(leaves, int((have.tokens or 0) * fraction), weights, max_epochs)
     whole = F.floor(F.col("budget") / F.nullif(F.col("tokens"), F.lit(0))).cast("bigint")
     dealt = dealt.withColumn("epochs", F.coalesce(whole, F.lit(0).cast("bigint"))).withColumn("rest", (F.floor("budget") - F.col("epochs") * F.col("tokens")).cast("bigint"))
     dealt = materialize(dealt, "leaf-budgets")
-    keyed = materialize(rows.join(dealt.select(*LEVELS, "epochs"), list(LEVELS)).select(*LEVELS, "tokens", order_key(seed, F.col("epochs"), F.col(id_col)).alias("h")), "ordered")
+    epochs = join_hot(rows, dealt.select(*LEVELS, "n", "epochs"), list(LEVELS), have.n or 0)
+    keyed = materialize(epochs.select(*LEVELS, "tokens", order_key(seed, F.col("epochs"), F.col(id_col)).alias("h")), "ordered")
     # first bucket by bucket, then in the one bucket in which the budget ends, by ever finer buckets; at last by rows
-    edge, taken, before = dealt.select(*LEVELS, F.col("rest").alias("room"), F.lit("").alias("prefix")), [], 0
+    edge, taken, before = dealt.select(*LEVELS, F.col("rest").alias("room")), [], 0
     upto = Window.partitionBy(*LEVELS).orderBy("bucket")  # at most 16 ** BUCKET_DIGITS[0] rows of a leaf
     for digits in BUCKET_DIGITS:
-        inside = keyed.withColumn("prefix", F.substring("h", 1, before)).join(edge, [*LEVELS, "prefix"])
-        sums = inside.groupBy(*LEVELS, "room", F.substring("h", 1, digits).alias("bucket")).agg(F.sum("tokens").alias("n"), F.max("h").alias("h"))
-        sums = materialize(sums.withColumn("upto", F.sum("n").over(upto)), "bucket-sums")
+        inside = keyed.withColumn("prefix", F.substring("h", 1, before)).join(edge, [*LEVELS, "prefix"]).drop("room") if before else keyed
+        sums = inside.groupBy(*LEVELS, F.substring("h", 1, digits).alias("bucket")).agg(F.sum("tokens").alias("tokens"), F.max("h").alias("h"))
+        sums = materialize(sums.join(edge.drop("prefix"), list(LEVELS)).withColumn("upto", F.sum("tokens").over(upto)), "bucket-sums")
         taken.append(sums.where("upto <= room").groupBy(*LEVELS).agg(F.max("h").alias("h")))
-        edge = sums.where("upto > room and upto - n <= room").select(*LEVELS, (F.col("room") - F.col("upto") + F.col("n")).alias("room"), F.col("bucket").alias("prefix"))
+        edge = sums.where("upto > room and upto - tokens <= room").select(*LEVELS, (F.col("room") - F.col("upto") + F.col("tokens")).alias("room"), F.col("bucket").alias("prefix"))
         before = digits
     # the order's equals count together
     order = Window.partitionBy(*LEVELS, "prefix").orderBy("h").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     inside = keyed.withColumn("prefix", F.substring("h", 1, before)).join(edge, [*LEVELS, "prefix"]).withColumn("upto", F.sum("tokens").over(order))
     taken.append(inside.where("upto <= room").groupBy(*LEVELS).agg(F.max("h").alias("h")))
     last = reduce(DataFrame.unionByName, taken).groupBy(*LEVELS).agg(F.max("h").alias("last"))
-    return materialize(dealt.join(last, list(LEVELS), "left").select(*LEVELS, "tokens", "budget", "epochs", "last"), "leaf-plan")
+    return materialize(dealt.join(last, list(LEVELS), "left").select(*LEVELS, "tokens", "n", "budget", "epochs", "last"), "leaf-plan")
 
 
 def named(docs: DataFrame, domain: Column) -> list[Column]:
@@ -112,12 +113,25 @@ def domain_of_source() -> Column:
     return F.element_at(F.array(*map(F.lit, ("web", "books", "forum", "news"))), (F.pmod(number, F.lit(4)) + 1).cast("int"))
 
 
-def mix(docs: DataFrame, *, domain: Column | None = None, fraction: float = 0.6, weights: dict[str, float] | None = None, max_epochs: int = 2, seed: int = SEED) -> DataFrame:
-    """The chosen documents with their own columns, __domain, __tokens and __epoch, one row for each epoch that takes them."""
+def mix(docs: DataFrame, *, domain: Column | None = None, fraction: float = 0.6, weights: dict[str, float] | None = None, max_epochs: int = 2, seed: int = SEED, only_rows: bool = False, most_leaves: int = HOT_KEYS) -> DataFrame:
+    """The chosen documents with their own columns, one row for each epoch that takes them; unless only_rows, also __domain,
+    __tokens and __epoch (columns of these names in the input give way).
+
+    The texts aren't shuffled: the plan of the leaves is broadcast. Where it has over ``most_leaves`` leaves, that holds for the rows of
+    the largest, and the others' are joined by leaf.
+    """
     levels = named(docs, domain if domain is not None else domain_of_source())
     rows = materialize(docs.select("doc_id", *levels, count_words(F.col("text")).alias("tokens")), "mix-tokens")
     leaf = plan(rows, fraction=fraction, weights=weights or {}, max_epochs=max_epochs, seed=seed)
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id"), *levels, count_words(F.col("text")).alias("tokens"))
-    kept = whole.join(leaf.select(*LEVELS, "epochs", "last"), list(LEVELS))
-    more = F.coalesce(order_key(seed, F.col("epochs"), F.col("doc_id")) <= F.col("last"), F.lit(False)).cast("bigint")
-    return kept.withColumn("passes", F.col("epochs") + more).where("passes > 0").select("row.*", F.col("domain").alias("__domain"), F.col("tokens").alias("__tokens"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("passes") - 1)).alias("__epoch"))
+    own = docs if only_rows else docs.drop("__domain", "__tokens", "__epoch")
+    whole = docs.select(packed(own), F.col("doc_id").alias("own_id"), *levels, count_words(F.col("text")).alias("own_tokens"))
+    leaves = leaf.select(*LEVELS, "n", "epochs", "last")
+    if leaves.count() <= most_leaves:
+        kept = whole.join(F.broadcast(leaves), list(LEVELS))
+    else:
+        kept = join_hot(whole, leaves, list(LEVELS), rows.count())
+    more = F.coalesce(order_key(seed, F.col("epochs"), F.col("own_id")) <= F.col("last"), F.lit(False)).cast("bigint")
+    out = kept.withColumn("passes", F.col("epochs") + more).where("passes > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("passes") - 1)))
+    if only_rows:
+        return out.select(*unpacked(own))
+    return out.select(*unpacked(own), F.col("domain").alias("__domain"), F.col("own_tokens").alias("__tokens"), F.col("epoch").alias("__epoch"))

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import as_bytes, materialize, mix, pieces
+from .common import as_bytes, join_hot, materialize, mix, packed, pieces, unpacked
 from .graph import components
 
 #: Largest bucket that one task compares at once; rows, and bytes of shingle sets, that a task holds.
@@ -393,10 +393,10 @@ def _bucket_links(keyed: DataFrame, radius: int, hot: int, similarity: float | N
     if rows.isEmpty():
         return links
     load = F.greatest(F.count("*") / hot, F.sum(F.octet_length("shingles")) / HELD_BYTES) if exact else F.count("*") / hot
-    parts = rows.groupBy("key").agg(F.ceil(load * 2).cast("int").alias("parts"))
+    parts = materialize(rows.groupBy("key").agg(F.ceil(load * 2).cast("int").alias("parts"), F.count("*").alias("of_key")), "simhash-parts")
     part = F.pmod(F.xxhash64(node), F.col("parts")).cast("int")
     pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(j, "part").alias("a"), F.greatest(j, "part").alias("b"))))
-    split = rows.join(parts, "key").withColumn("part", part).select("key", node, *more, "part", pairs.alias("p")).where("p.a < p.b or parts = 1")
+    split = join_hot(rows, parts, "key", rows.count(), "of_key").withColumn("part", part).select("key", node, *more, "part", pairs.alias("p")).where("p.a < p.b or parts = 1")
     return links.union(search(split.select(F.xxhash64("key", "p.a", "p.b").alias("key"), node, *more), 1 << 62, 1 << 62).select("u", "v"))
 
 
@@ -422,7 +422,7 @@ def similar_links(docs: DataFrame, prints: DataFrame, similarity: float, hot: in
     again = distinct(fingerprints(docs, sets=True, only=_bitmap(roots), **options), "fp", "sketch", "keys", "shingles")
     sizes = roots.groupBy("root").agg(F.count("*").alias("n"))
     key = F.explode(F.when(F.col("n") > hot, F.col("keys")).otherwise(F.array("root"))).alias("key")
-    held = again.join(roots, "node").join(sizes, "root").select(key, "node", "fp", "sketch", "shingles")
+    held = join_hot(again.join(roots, "node"), sizes.withColumn("count", F.col("n")), "root", roots.count(), "count").select(key, "node", "fp", "sketch", "shingles")
     return _bucket_links(held, NEAR, hot, similarity)
 
 
@@ -442,22 +442,25 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     Links are fingerprints within the radius, or with a similarity, texts whose shingle sets have at least that one.
     """
     prints, node, roots = _linked(docs, **options)
-    nodes = prints.groupBy(node).agg(F.min("doc_id").alias("first"))
-    rooted = nodes.join(roots, node, "left").select(node, "first", F.coalesce("root", node).alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = materialize(rooted.join(least, "root").select(node, "component_id"), "simhash-components")
-    return prints.join(named, node).select("doc_id", "fp", "component_id")
+    nodes = materialize(prints.groupBy(node).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "simhash-nodes")
+    linked = materialize(nodes.join(roots, node), "simhash-linked")
+    least = linked.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("of_root"))
+    named = join_hot(linked, least, "root", linked.count(), "of_root").select(node, "component_id", "n")
+    alone = nodes.join(roots, node, "left_anti").select(node, F.col("first").alias("component_id"), "n")
+    named = materialize(named.unionByName(alone), "simhash-components")
+    return join_hot(prints, named, node, prints.count()).select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """One document of each group: the one with the smallest id (null last) and hash of its text, once."""
+    """One document of each group: the one with the smallest id (null last) and hash of its text, once (of rows that have both in
+    common any one, whole)."""
     prints, node, roots = _linked(docs, text_hash=True, **options)
     nodes = prints.groupBy(node).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first"))
     first = nodes.join(roots, node, "left").groupBy(F.coalesce("root", node)).agg(F.min("first").alias("first"))
-    kept = materialize(first.select(F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__kept")), "simhash-kept")
-    rows = docs.withColumn("__text_hash", F.xxhash64("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__kept"))
-    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__text_hash"]).drop("__text_hash")
+    kept = materialize(first.select(F.col("first.doc_id").alias("kept_id"), F.col("first.text_hash").alias("kept_hash")), "simhash-kept")
+    rows = docs.select(packed(docs), F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_hash"))
+    same = F.col("own_id").eqNullSafe(F.col("kept_id")) & (F.col("own_hash") == F.col("kept_hash"))
+    return rows.join(kept, same, "left_semi").dropDuplicates(["own_id", "own_hash"]).select(*unpacked(docs))
 
 
 def hex_print(fp="fp"):

@@ -305,9 +305,9 @@ def test_decontaminate(spark, edge, empty):
     docs = spark.createDataFrame(rows, SCHEMA)
     expected = leaks_by_hand(rows, items)
     # a radius of all bits: nothing but the exact similarity decides
-    got = {(r.doc_id, r.item_id): round(r.similarity, 9) for r in decontaminate.matches(docs, benchmark, radius=32).collect()}
+    got = {(r.doc_id, r.item_id): round(r.similarity, 9) for r in decontaminate.matches(docs, benchmark, radius=64).collect()}
     assert got == expected and len(expected) > 10
-    assert {(r.doc_id, r.item_id) for r in decontaminate.matches(docs, benchmark, radius=32, broadcast=60).collect()} == set(expected)
+    assert {(r.doc_id, r.item_id) for r in decontaminate.matches(docs, benchmark, radius=64, broadcast=60).collect()} == set(expected)
     production = {(r.doc_id, r.item_id) for r in decontaminate.matches(docs, benchmark).collect()}
     assert production <= set(expected) and len(production) >= 0.95 * len(expected)
     clean = decontaminate.keep_clean(docs, benchmark)
@@ -322,18 +322,19 @@ def test_decontaminate(spark, edge, empty):
 def test_url_filter(spark):
     rng = random.Random(5)
     hosts = ["a.example.com", "example.com", "b.example.org", "deep.a.example.com", "x.net"]
-    urls = [f"http{'s' * rng.randrange(2)}://{rng.choice(hosts)}/{rng.choice(['', 'p', 'p/q', 'p/q/r?x=1', 'z#t'])}" for _ in range(200)] + [None, "", "no url", "HTTP://USER:PW@A.Example.com:80/p"]
+    urls = [f"http{'s' * rng.randrange(2)}://{rng.choice(hosts)}/{rng.choice(['', 'p', 'p/q', 'p/q/r?x=1', 'z#t'])}" for _ in range(200)] + [None, "", "no url", "HTTP://USER:PW@A.Example.com:80/p", "http://one/", "http://e.com/a/b/c/d", "http://e.com./a/b", "http://192.0.2.1/x", "http://[::1]:8080/x", "http://u@v@x.net/"]
     captures = [(i, u, rng.randrange(20) if i % 17 else None) for i, u in enumerate(urls)] + [(0, urls[0], None)]
     keys = [*hosts, "a.example.com/p", "example.com/p/q", "com"]
-    entries = [(rng.choice(keys), rng.randrange(20), rng.choice(["add", "remove"])) for _ in range(30)] + [(None, 1, "add"), ("x.net", None, "add"), ("x.net", 3, None)]
+    always = ["e.com/a/b/c", "e.com/a/b", "2.1", "[::1]", "1"]
+    entries = [(k, 0, "add") for k in always] + [(rng.choice(keys), rng.randrange(20), rng.choice(["add", "remove"])) for _ in range(30)] + [(None, 1, "add"), ("x.net", None, "add"), ("x.net", 3, None)]
 
     def listed(url, day):
-        m = re.match(r"[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)(?::\d+)?/?([^?#]*)", url or "")
+        m = re.match(r"[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#]*@)?(\[.*?\]|[^/?#:@]+)(?::\d+)?/?([^?#]*)", url or "")
         if not m or day is None:
             return None
-        host, parts = m[1].lower(), [p for p in m[2].split("/") if p]
-        labels = host.split(".")
-        own = {host, *(".".join(labels[i:]) for i in range(1, len(labels) - 1)), *("/".join([host, *parts[:k]]) for k in range(1, min(2, len(parts)) + 1))}
+        host, parts = m[1].lower().rstrip("."), [p for p in m[2].split("/") if p]
+        labels = [] if host[0] in "[1" else host.split(".")
+        own = {host, *(".".join(labels[i:]) for i in range(1, len(labels))), *("/".join([host, *parts[:k]]) for k in range(1, len(parts) + 1))}
         hit = []
         for k in own:
             events = [(d, a) for kk, d, a in entries if kk == k and d is not None and a is not None and d <= day]
@@ -347,6 +348,7 @@ def test_url_filter(spark):
     expected = sorted(((i, u, d, listed(u, d)) for i, u, d in captures), key=repr)
     assert sorted(((r.page_id, r.url, r.fetched, r.listed_by) for r in got), key=repr) == expected
     assert all(r.listed == (r.listed_by is not None) for r in got) and any(r.listed for r in got)
+    assert {r.url: r.listed_by for r in got if r.listed_by in always} == {"http://e.com/a/b/c/d": "e.com/a/b", "http://e.com./a/b": "e.com/a/b", "http://[::1]:8080/x": "[::1]"}
     assert url_filter.judge(spark.createDataFrame([], "page_id bigint, url string, fetched int"), spark.createDataFrame(entries, "key string, day int, action string")).count() == 0
 
 
