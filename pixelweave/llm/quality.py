@@ -1,14 +1,19 @@
 """Operator 10: quality rules with risk-controlled thresholds.
 
 Every document gets counts over its whole text. Ratios of these counts are the rules; a rule rejects a document whose
-ratio exceeds the rule's cutoff. Cutoffs come from labelled holdouts, per stratum (language) and rule: of the fixed grid
-of cutoffs, those count as safe whose false rejections among documents labelled good have an exact (Clopper-Pearson)
-upper bound of at most ``max_false_rejection / number of rules``, at confidence ``1 - delta``, Bonferroni-corrected over
-strata, rules and grid. Of the safe ones the rule takes the cutoff that rejects most documents labelled bad, and the
-loosest of equals; a rule without a safe cutoff that rejects any bad document stays off in that stratum.
+ratio exceeds the rule's cutoff. Cutoffs come from labelled documents that pass the base rule, in two parts by a hash of the id.
+
+One in SELECT makes the order in which cutoffs are tightened: of each rule's (false, true) rejections the steps of the concave
+hull, all rules' steps together by how many more bad than good documents (as shares) they reject, at least GAIN times as many; a
+cutoff is the middle one of those that reject the same documents. The order doesn't depend on the others, the holdouts, so these
+test it as a fixed sequence: in each stratum (language), step by step, the false rejections of all rules together have an exact
+(Clopper-Pearson) upper bound of at most ``max_false_rejection``, else the stratum stays at the step before. A fixed sequence
+needs no correction over its steps; over the strata it is Bonferroni's. Strata with too few good holdouts for any guarantee are
+one stratum together, which holds for every other document too; if that one is too small, only the base rule rejects there.
 
 Defined results: null or empty text has no words and fails the base rule; a null language is the stratum "";
-rows repeat as they come; an empty table gives an empty result; without labels only the base rule rejects.
+rows repeat as they come; labels of a null id, null labels, and ids whose labels disagree aren't used; an empty table gives an
+empty result; without labels only the base rule rejects. Columns with the counts' names give way.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import materialize, packed, pieces, unpacked
 
 #: Words of a document that passes the base rule, at least.
 MIN_WORDS = 50
@@ -30,7 +35,9 @@ BLANKS = " \t\n\r\x0b\x0c"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_lines", "n_marks")
 RULES = ("symbol_ratio", "dup_line_ratio", "repeat_ratio", "upper_ratio", "mark_ratio")
 #: Cutoffs that may be chosen: k / GRID, for k from 1 to GRID - 1.
-GRID = 64
+GRID = 256
+#: One labelled document in so many orders the cutoffs; how many times the share of good ones a step rejects of the bad.
+SELECT, GAIN = 4, 10.0
 
 
 def _repeat_words(lengths: np.ndarray, words: list[bytes]) -> np.ndarray:
@@ -123,46 +130,113 @@ def upper_bound(k: int, n: int, delta: float) -> float:
     return hi
 
 
-def fit(counts: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", stratum: str = "lang", good: str = "quality", max_false_rejection: float = 0.05, delta: float = 0.05) -> dict[str, dict[str, float]]:
-    """Cutoffs by rule and stratum, from the labelled documents that pass the base rule.
-
-    Only histograms reach the driver: at most GRID rows for each rule and stratum, of strata with enough good
-    documents for any guarantee (so their number is bounded by the labels over that least number).
-    """
-    least = math.log(1 / delta) * len(RULES) / max_false_rejection
-    held = labels.select(F.col(id_col).alias("__id"), F.col(good).alias("__good")).where("__id is not null and __good is not null").dropDuplicates(["__id"])
-    rows = counts.where(~base_failed()).select(F.col(id_col).alias("__id"), F.coalesce(F.col(stratum), F.lit("")).alias("stratum"), *(v.alias(k) for k, v in ratios().items()))
-    rows = rows.join(held, "__id")
-    # bin b: the ratio is over the cutoffs 1..b of the grid
-    bins = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.least(F.ceil(F.col(r) * GRID) - 1, F.lit(GRID - 1)).cast("int").alias("bin")) for r in RULES)))
-    hist = rows.select("stratum", "__good", bins.alias("x")).groupBy("stratum", "x.rule", "x.bin").agg(F.count_if(F.col("__good") == 1).alias("n_good"), F.count_if(F.col("__good") != 1).alias("n_bad"))
-    enough = hist.groupBy("stratum", "rule").agg(F.sum("n_good").alias("n")).where(F.col("n") >= least).select("stratum").distinct()
-    found: dict[tuple[str, str], dict[int, tuple[int, int]]] = {}
-    for r in hist.join(enough, "stratum").collect():
-        found.setdefault((r.stratum, r.rule), {})[r.bin] = (r.n_good, r.n_bad)
-    tests = max(1, len(found)) * (GRID - 1)
-    cutoffs: dict[str, dict[str, float]] = {r: {} for r in RULES}
-    for (s, rule), own in sorted(found.items()):
-        n, best = sum(g for g, _ in own.values()), (0, 0)
-        false = bad = 0
-        for k in range(GRID - 1, 0, -1):  # from the loosest cutoff; false rejections only grow
-            false, bad = false + own.get(k, (0, 0))[0], bad + own.get(k, (0, 0))[1]
-            if upper_bound(false, n, delta / tests) > max_false_rejection / len(RULES):
-                break
-            if bad > best[0]:
-                best = (bad, k)
-        if best[0]:
-            cutoffs[rule][s] = best[1] / GRID
+def least_holdouts(max_false_rejection: float, level: float) -> int:
+    """Good holdouts that bound the false rejections when none is seen."""
+    return math.ceil(math.log(level) / math.log1p(-max_false_rejection))
+
+
+def hull_steps(hist: dict[int, tuple[int, int]], goods: int, bads: int) -> list[tuple[float, int]]:
+    """(gain, cutoff) of the steps of one rule, from (good, bad) documents by bin: cutoffs fall, and gains too."""
+    points, false, true = [(0, 0, GRID, GRID)], 0, 0
+    for k in range(GRID - 1, 0, -1):
+        good, bad = hist.get(k, (0, 0))
+        false, true = false + good, true + bad
+        if (false, true) == points[-1][:2]:
+            points[-1] = (false, true, points[-1][2], k)  # the same documents: a run of cutoffs
+        else:
+            points.append((false, true, k, k))
+    hull: list[tuple[int, int, int, int]] = []
+    for x in points:
+        while hull and (hull[-1][0] >= x[0] or (len(hull) > 1 and (x[1] - hull[-1][1]) * (hull[-1][0] - hull[-2][0]) >= (hull[-1][1] - hull[-2][1]) * (x[0] - hull[-1][0]))) and x[1] > hull[-1][1]:
+            hull.pop()
+        if not hull or x[1] > hull[-1][1]:
+            hull.append(x)
+    out, last = [], (0, 0)
+    for false, true, top, low in hull:
+        if true > last[1]:
+            gain = math.inf if false == last[0] else (true - last[1]) / bads * goods / (false - last[0])
+            out.append((gain, (top + low + 1) // 2))
+            last = false, true
+    return out
+
+
+def cutoff_path(hists: dict[str, dict[int, tuple[int, int]]], gain: float = GAIN) -> list[tuple[str, int]]:
+    """(rule, cutoff) in the order in which the rules are tightened."""
+    steps = []
+    for rule in RULES:
+        own = hists.get(rule, {})
+        goods, bads = (sum(x[i] for x in own.values()) for i in (0, 1))
+        if goods and bads:
+            steps += [(-g, RULES.index(rule), -k) for g, k in hull_steps(own, goods, bads) if g >= gain]
+    return [(RULES[r], -k) for _, r, k in sorted(steps)]
+
+
+def fixed_sequence(path: list[tuple[str, int]], steps: dict[int, int], n: int, level: float, risk: float) -> dict[str, float]:
+    """The cutoffs after the last step of the path before one that fails; steps: good holdouts by the step that first rejects them."""
+    cutoffs, false = {}, 0
+    for t, (rule, k) in enumerate(path, 1):
+        false += steps.get(t, 0)
+        if upper_bound(false, n, level) > risk:
+            break
+        cutoffs[rule] = k / GRID
     return cutoffs
 
 
-def verdict(cutoffs: dict[str, dict[str, float]], stratum: str = "lang"):
+def fit(counts: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", stratum: str = "lang", good: str = "quality", max_false_rejection: float = 0.05, delta: float = 0.05) -> dict[str | None, dict[str, float]]:
+    """Cutoffs by stratum and rule; None stands for all other strata.
+
+    Only histograms reach the driver: GRID rows a rule, a row a step for each stratum with enough holdouts for a guarantee (so
+    their number is bounded by the labels over that least number).
+    """
+    held = labels.select(F.col(id_col).alias("id"), (F.col(good) == 1).alias("good")).where("id is not null and good is not null").groupBy("id").agg(F.min("good").alias("good"), F.max("good").alias("also")).where("good = also").drop("also")
+    bins = [F.least(F.ceil(v * GRID) - 1, F.lit(GRID - 1)).cast("int").alias(k) for k, v in ratios().items()]
+    rows = counts.where(~base_failed()).select(F.col(id_col).alias("id"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), *bins).join(held, "id")
+    rows = materialize(rows.withColumn("selects", F.pmod(F.xxhash64("id", F.lit("selects")), F.lit(SELECT)) == 0), "quality-holdouts")
+    goods, bads = F.count_if("good").alias("goods"), F.count_if(~F.col("good")).alias("bads")
+    each = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.col(r).alias("bin")) for r in RULES))).alias("x")
+    hists: dict[str, dict[int, tuple[int, int]]] = {r: {} for r in RULES}
+    for r in rows.where("selects").select("good", each).groupBy("x.rule", "x.bin").agg(goods, bads).collect():
+        hists[r.rule][r.bin] = (r.goods, r.bads)
+    path = cutoff_path(hists)
+    if not path:
+        return {}
+    held = rows.where("not selects")
+    sizes = held.groupBy("stratum").agg(goods)
+    need = least_holdouts(max_false_rejection, delta)
+    for _ in range(20):  # more strata need more holdouts each
+        own = [r.stratum for r in sizes.where(F.col("goods") >= need).select("stratum").collect()]
+        level = delta / (len(own) + 1)
+        if need >= least_holdouts(max_false_rejection, level):
+            break
+        need = least_holdouts(max_false_rejection, level)
+    step = F.least(F.lit(len(path) + 1), *(_first_step(path, rule) for rule in RULES))
+    group = F.when(F.col("stratum").isin(own), F.col("stratum"))
+    found: dict[str | None, dict[int, int]] = {}
+    for r in held.groupBy(group.alias("group"), step.alias("step")).agg(goods).collect():
+        found.setdefault(r.group, {})[r.step] = r.goods
+    return {g: fixed_sequence(path, steps, sum(steps.values()), level, max_false_rejection) for g, steps in found.items()}
+
+
+def _first_step(path: list[tuple[str, int]], rule: str):
+    """Column: the first step of the path at which the rule rejects a row with that bin; null if none does."""
+    out = F.when(F.lit(False), F.lit(0))
+    for t, (r, k) in enumerate(path, 1):
+        if r == rule:
+            out = out.when(F.col(rule) >= k, F.lit(t))
+    return out
+
+
+def verdict(cutoffs: dict[str | None, dict[str, float]], stratum: str = "lang"):
     """Column: true for documents that pass the base rule and every rule."""
     ok = ~base_failed()
+    name = F.coalesce(F.col(stratum).cast("string"), F.lit(""))
+    own = {s: c for s, c in cutoffs.items() if s is not None}
     for rule, value in ratios().items():
-        if own := cutoffs.get(rule):
-            cut = F.create_map(*(F.lit(x) for kv in own.items() for x in kv))[F.coalesce(F.col(stratum), F.lit(""))]
-            ok = ok & ~F.coalesce(value > cut, F.lit(False))
+        cut = F.lit(cutoffs.get(None, {}).get(rule, math.inf))
+        if own:
+            given = F.create_map(*(x for s, c in sorted(own.items()) for x in (F.lit(s), F.lit(c.get(rule, math.inf)))))
+            cut = F.coalesce(given[name], cut)
+        ok = ok & ~F.coalesce(value > cut, F.lit(False))
     return ok
 
 
@@ -172,6 +246,5 @@ def keep(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     Two narrow passes over the texts: one for the cutoffs, of which only counts are shuffled, one that filters.
     """
     cutoffs = fit(with_counts(docs.select("doc_id", "lang", "text"), keep_text=False), labels, **options)
-    safe = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("__row"), "text", "lang")
-    passed = with_counts(safe).where(verdict(cutoffs))
-    return passed.select(*("text" if c == "text" else F.col("__row").getField(c).alias(c) for c in docs.columns))
+    safe = docs.select(packed(docs), "text", "lang")
+    return with_counts(safe).where(verdict(cutoffs)).select(*unpacked(docs))

@@ -500,11 +500,14 @@ def test_quality_rules(spark, edge):
     docs, marked = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
     counts = quality.with_counts(docs).cache()
     cutoffs = quality.fit(counts, marked)
-    assert set(cutoffs["symbol_ratio"]) == {"en"}  # the other stratum is too small for the guarantee
+    assert set(cutoffs) == {"en", None} and set(cutoffs["en"]) == {"symbol_ratio"}
+    assert not cutoffs[None]  # the other stratum is too small for the guarantee
     kept = {r.doc_id for r in quality.keep(docs, marked).collect()}
     assert all(i in kept for i in range(4000) if i % 4 > 0)
     assert sum(i not in kept for i in range(0, 4000, 4) if i % 40) > 800
-    assert quality.fit(counts, marked.limit(0)) == {r: {} for r in quality.RULES}
+    assert quality.fit(counts, marked.limit(0)) == {}
+    other = marked.selectExpr("doc_id", "1 - quality quality", "toxic")
+    assert quality.fit(counts, marked.union(other)) == {}  # labels that disagree
     assert quality.keep(edge, marked).columns == edge.columns
 
 
