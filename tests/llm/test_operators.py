@@ -441,10 +441,39 @@ def test_maximal_segments():
         values = {f"a{i}": rng.choice([1.0, 2.0, -3.0, 0.5]) for i in range(6)}
         own = [rng.choice([*values, "z"]) for _ in range(rng.randrange(1, 25))]
         model = toxicity.Model(scores=values, drift=-0.4)
-        segments, n, _ = model.segments(" ".join(own))
+        segments = model.segments(model.hits(own))
         s = [values.get(w, -0.4) for w in own]
+        for w in values:
+            for k, i in enumerate([i for i, x in enumerate(own) if x == w], 1):
+                s[i] = values[w] / k if values[w] > 0 else values[w]
         best = max((sum(s[i:j]) for i in range(len(s)) for j in range(i + 1, len(s) + 1)), default=0)
-        assert n == len(own) and max((x for x, _, _ in segments), default=0) == pytest.approx(max(best, 0))
+        assert max((x for x, _, _ in segments), default=0) == pytest.approx(max(best, 0))
+        assert all(x == pytest.approx(sum(s[i : j + 1])) for x, i, j in segments)
+
+
+def test_odds_of_beginnings():
+    """Terms, backed off along their beginnings, against a version that walks down from the shortest."""
+    rng = random.Random(3)
+    texts = [(rng.random() < 0.3, {rng.choice(["bad", "badly", "go", "good", "b"]) + rng.choice(["", "x", "yy", "zzzzzzz"]) for _ in range(6)}) for _ in range(300)]
+    texts = [(y, words | ({"badder" + rng.choice("pqr")} if y else set())) for y, words in texts]
+    counts = collections.defaultdict(lambda: [0, 0])
+    for y, words in texts:
+        for w in words:
+            for t in (w, *toxicity.beginnings(w)):
+                counts[t][not y] += 1
+    total = [sum(len(w) for y, w in texts if y == z) for z in (True, False)]
+    model = toxicity.odds({t: tuple(x) for t, x in counts.items()}, *total)
+    base = np.log(total[0] / total[1])
+    for w in {w for _, words in texts for w in words} | {"badders", "unseen"}:
+        prior = 0.0
+        for t in [*toxicity.beginnings(w)[::-1], w]:
+            q = 1 / (1 + np.exp(-prior - base))
+            a, b = (n + 10 * x for n, x in zip(counts.get(t, (0, 0)), (q, 1 - q), strict=True))
+            new = np.log(a / b) - base
+            if abs(new - prior) >= 2 * np.sqrt(1 / a + 1 / b):
+                prior = new if new >= 1.5 else 0.0
+        assert model.word(w) == pytest.approx(prior)
+    assert model.word("badders") > 1.5 > model.word("goodx") and model.drift < 0
 
 
 # 9
