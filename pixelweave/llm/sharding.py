@@ -2,8 +2,9 @@
 
 Pass one scatters records: the shard is the winner of seeded rendezvous hashing of (id, shard), so the id and the shard
 count alone decide, and one more shard only takes rows into itself (law ``key``). A second seeded hash, of the whole row,
-spreads each shard's rows evenly over buckets, as many as its rows and bytes ask for. Pass two sorts a bucket's rows by that
-hash, Fisher-Yates shuffles them (Spark's ``shuffle``), numbers them after the buckets before it, and writes them, whole.
+spreads each shard's rows evenly over buckets, as many as its rows and bytes ask for. Pass two has a bucket in each partition: it
+sorts the bucket's rows by that hash, Fisher-Yates shuffles them (Spark's ``shuffle``, whose generator is seeded by the seed and the
+partition's number, so a task that runs again deals the same), numbers them after the buckets before it, and writes them, whole.
 
 Rows with one id share a shard, which then has more buckets, not larger ones. Identical rows are numbered and spread by that
 number too, so they don't meet in a bucket; they keep separate slots. A bucket is only ever larger than its size by chance or by
@@ -53,12 +54,8 @@ def _numbered_copies(keyed: DataFrame) -> DataFrame:
     return keyed.join(repeated, ["h", "h2"], "left_anti").unionByName(copies.withColumn("h", F.xxhash64("h", "copy")).select(keyed.columns))
 
 
-def shuffle_shards(rows: DataFrame, *, id_col: str = "doc_id", shards: int = 24, seed: int = SEED, bucket_rows: int = BUCKET_ROWS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """The rows with shard, slot (gapless from 0 in each shard) and grown_shard (with one more shard).
-
-    Columns of these names in the input give way.
-    """
-    rows = rows.drop("shard", "slot", "grown_shard")
+def scatter(rows: DataFrame, *, id_col: str = "doc_id", shards: int = 24, seed: int = SEED, bucket_rows: int = BUCKET_ROWS, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, list[int]]:
+    """Pass one: (bucket, shard, h, grown_shard, row), and how many buckets each shard has; buckets are numbered over all shards."""
     own = F.struct(*(F.col(f"`{c}`") for c in rows.columns))
     key = F.coalesce(F.col(id_col).cast("string"), F.lit("\0"))
     shard = rendezvous(key, shards, seed)
@@ -67,15 +64,25 @@ def shuffle_shards(rows: DataFrame, *, id_col: str = "doc_id", shards: int = 24,
         buckets[r.s] = max(1, math.ceil(r.n / bucket_rows), math.ceil(r.b / bucket_bytes))
     h, h2 = (F.xxhash64(F.lit(seed), F.lit(what), key, own) for what in ("order", "copy"))
     keyed = rows.select(shard.alias("shard"), rendezvous(key, shards + 1, seed).alias("grown_shard"), h.alias("h"), h2.alias("h2"), own.alias("row"))
-    of_shard = F.element_at(F.array(*map(F.lit, buckets)), F.col("shard") + 1)
-    scattered = _numbered_copies(keyed).withColumn("bucket", F.pmod("h", of_shard).cast("int"))
+    element = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("shard") + 1)
+    first = [sum(buckets[:s]) for s in range(shards)]
+    bucket = element(first) + F.pmod("h", element(buckets)).cast("int")
+    return _numbered_copies(keyed).select(bucket.alias("bucket"), "shard", "h", "grown_shard", "row"), buckets
+
+
+def shuffle_shards(rows: DataFrame, *, seed: int = SEED, **options) -> DataFrame:
+    """The rows with shard, slot (gapless from 0 in each shard) and grown_shard (with one more shard).
+
+    Columns of these names in the input give way.
+    """
+    scattered, buckets = scatter(rows.drop("shard", "slot", "grown_shard"), seed=seed, **options)
     item = F.struct("h", "grown_shard", "row")
-    filled = scattered.repartition(sum(buckets), "shard", "bucket").groupBy("shard", "bucket").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    filled = scattered.repartitionById(sum(buckets), "bucket").groupBy("bucket").agg(F.first("shard").alias("shard"), F.sort_array(F.collect_list(item)).alias("items"))
     dealt = filled.select("shard", "bucket", F.shuffle("items", F.lit(seed)).alias("items"))
     sizes = scattered.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    out = dealt.join(F.broadcast(offsets), ["shard", "bucket"]).select("shard", "offset", F.posexplode("items").alias("at", "item"))
+    offsets = sizes.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    out = dealt.join(F.broadcast(offsets), "bucket").select("shard", "offset", F.posexplode("items").alias("at", "item"))  # two numbers a bucket
     return out.select("item.row.*", "shard", (F.col("offset") + F.col("at")).alias("slot"), F.col("item.grown_shard").alias("grown_shard"))
 
 
