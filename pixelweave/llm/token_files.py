@@ -1,7 +1,7 @@
 """Operator 3: token ids in Parquet list columns.
 
 A dataset is a folder with ``tokens`` (one row per document in ascending id order over the files: doc_id, shard,
-local_start, n_tokens, tokens) and ``manifest`` (one row per file: shard, first and last id, documents, tokens, start).
+local_start, local_end, n_tokens, tokens) and ``manifest`` (one row per file: shard, first and last id, documents, tokens, start).
 Token lists are dictionary-encoded while the ids of a row group fit a dictionary page; ids and positions are
 delta-encoded (Parquet format v2). Row groups and pages have set sizes and page indexes, so that readers fetch only the
 rows and columns they ask for: metadata without tokens, or the documents that hold a range of positions.
@@ -32,7 +32,7 @@ from .common import pieces
 ROW_GROUP, PAGE = 32 << 20, 256 << 10
 #: Words of each of the two generations of a worker's cache.
 CACHE_WORDS = 250_000
-SCHEMA = "doc_id bigint, shard int, local_start bigint, n_tokens bigint, tokens array<int>"
+SCHEMA = "doc_id bigint, shard int, local_start bigint, local_end bigint, n_tokens bigint, tokens array<int>"
 MANIFEST = "shard int, first_id bigint, last_id bigint, documents bigint, tokens bigint, start bigint"
 
 
@@ -136,7 +136,7 @@ def write_tokens(docs: DataFrame, path: str, *, tokenizer: str | None = None, en
                 ends = np.cumsum(sizes)
                 values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(raw))])
                 tokens = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), values)
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(np.full(len(raw), shard, np.int32)), pa.array(at + ends - sizes), pa.array(sizes), tokens], names=["doc_id", "shard", "local_start", "n_tokens", "tokens"])
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(np.full(len(raw), shard, np.int32)), pa.array(at + ends - sizes), pa.array(at + ends), pa.array(sizes), tokens], names=["doc_id", "shard", "local_start", "local_end", "n_tokens", "tokens"])
                 at += int(ends[-1])
 
     order = ["doc_id", "h"]
@@ -157,16 +157,16 @@ def read_tokens(spark: SparkSession, path: str, *, tokens: bool = True) -> DataF
 
 
 def read_span(spark: SparkSession, path: str, first: int, end: int) -> DataFrame:
-    """The documents that hold positions first to end - 1; other files, row groups and pages aren't read."""
-    files = spark.read.schema(MANIFEST).parquet(f"{path}/manifest").where((F.col("start") < end) & (F.col("start") + F.col("tokens") > first)).collect()  # files of the span
+    """The documents that hold positions first to end - 1. Files of other spans give no rows; of the two files at its ends only the
+    row groups and pages that may hold them are read (local_start and local_end have page indexes)."""
+    files = spark.read.schema(MANIFEST).parquet(f"{path}/manifest").select("shard", "start", (F.col("start") + F.col("tokens")).alias("end")).where((F.col("start") < end) & (F.col("end") > first))
+    edge = files.agg(F.min("shard").alias("low"), F.max("shard").alias("high"), F.min("start").alias("start"), F.max("start").alias("last")).first()
     rows = spark.read.schema(SCHEMA).parquet(f"{path}/tokens")
-    hit, start = F.lit(False), F.lit(0)
-    for f in files:
-        mine = F.col("shard") == f.shard
-        hit = hit | (mine & (F.col("local_start") < end - f.start) & (F.col("local_start") >= first - f.start - F.col("n_tokens")))
-        start = F.when(mine, F.lit(f.start)).otherwise(start)
-    out = rows.where(hit).select("doc_id", (start + F.col("local_start")).cast("bigint").alias("start"), "n_tokens", "tokens")
-    return out.where((F.col("start") < end) & (F.col("start") + F.col("n_tokens") > first))
+    if edge.low is None or first >= end:
+        return rows.where("false").select("doc_id", F.lit(0).cast("bigint").alias("start"), "n_tokens", "tokens")
+    mine = rows.where(F.col("shard").between(edge.low, edge.high))
+    mine = mine.where(((F.col("shard") > edge.low) | (F.col("local_end") > first - edge.start)) & ((F.col("shard") < edge.high) | (F.col("local_start") < end - edge.last)))
+    return mine.join(files.select("shard", F.col("start").alias("of_file")), "shard").select("doc_id", (F.col("of_file") + F.col("local_start")).alias("start"), "n_tokens", "tokens")
 
 
 def checksums(rows: DataFrame) -> DataFrame:

@@ -230,8 +230,10 @@ def test_tokens(spark, edge, edge_rows, tmp_path):
         start += len(ids)
     rows = token_files.read_tokens(spark, path)
     assert sorted(map(tuple, token_files.checksums(rows).collect()), key=lambda x: x[1]) == expected
-    middle = expected[4]
-    assert [r.start for r in token_files.read_span(spark, path, middle[1], middle[1] + 1).collect()] == [middle[1]]
+    total = sum(n for _, _, n, _ in expected)
+    for first, end in [(expected[4][1], expected[4][1] + 1), (0, total), (7, 7), (total, total + 9), *((a, a + total // 3) for a in range(0, total, total // 7))]:
+        span = sorted(token_files.read_span(spark, path, first, end).select("start", "n_tokens").collect())
+        assert [tuple(r) for r in span] == [(a, n) for _, a, n, _ in expected if a < end and a + n > first and first < end]
     assert "tokens" not in token_files.read_tokens(spark, path, tokens=False).columns
 
 
