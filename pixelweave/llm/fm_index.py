@@ -1,7 +1,7 @@
 """An FM-index over integer symbols: a wavelet matrix of the Burrows-Wheeler transform, searched backwards in lockstep.
 
 Suffixes are sorted by their first ``depth`` symbols, equal ones by position; that is all that patterns of at most ``depth``
-symbols need, and makes a pattern's earliest occurrence the first of its interval.
+symbols need, and makes a pattern's earliest occurrence the first of its interval. Matching statistics are cut off at ``depth``.
 """
 
 from __future__ import annotations
@@ -44,6 +44,9 @@ class WaveletMatrix:
 
 
 class FMIndex:
+    """The order of suffixes isn't kept: of each run of rows with the same ``depth`` symbols the first position (the earliest), and
+    where the runs with one symbol less begin; both found by rank over a bit vector."""
+
     def __init__(self, text: np.ndarray, depth: int) -> None:
         """text: symbols from 0; 0 ends a sequence and is in no pattern."""
         self.depth, n = depth, len(text)
@@ -51,20 +54,28 @@ class FMIndex:
         rank, width = text.astype(np.int64), 1
         while 2 * width <= depth:
             rank, width = self._pair(rank, width), 2 * width
-        self.order = self._order(rank, depth - width) if depth > width else np.argsort(rank, kind="stable")
-        back = self._pairs_equal(rank, depth - 1 - width) if depth - 1 >= width else None
-        # rows whose first depth - 1 symbols equal those of the row before
-        same = back if back is not None else np.zeros(n, bool)
-        starts = np.flatnonzero(~same)
-        group = np.cumsum(~same) - 1
-        self.first, self.end = starts[group].astype(np.int64), np.append(starts[1:], n)[group].astype(np.int64)
-        bwt = text[self.order - 1]
+        order = self._order(rank, depth - width) if depth > width else np.argsort(rank, kind="stable")
+        # rows that begin as the row before does
+        whole = self._pairs_equal(rank, order, depth - width)
+        less = self._pairs_equal(rank, order, depth - 1 - width) if depth - 1 >= width else np.zeros(n, bool)
+        self.runs, self.earliest = BitRank(~whole), order[~whole].astype(np.int32)
+        self.groups, self.starts = BitRank(~less), np.append(np.flatnonzero(~less), n).astype(np.int32)
+        bwt = text[order - 1]
         self.tree = WaveletMatrix(bwt, max(1, int(self.sigma - 1).bit_length()))
         symbols = np.arange(self.sigma)
         self.base = self.tree.descend(symbols, np.zeros(self.sigma, np.int64))
         self.count = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=self.sigma))]).astype(np.int64)
         self.size = n
 
+    def position(self, row: np.ndarray) -> np.ndarray:
+        """The earliest position of the symbols that a row begins with."""
+        return self.earliest[self.runs.ones(row + 1) - 1].astype(np.int64)
+
+    def shorter(self, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The interval of the rows that begin as this one does, but for the last symbol."""
+        group = self.groups.ones(row + 1) - 1
+        return self.starts[group].astype(np.int64), self.starts[group + 1].astype(np.int64)
+
     def _shift(self, rank: np.ndarray, by: int) -> np.ndarray:
         return np.concatenate([rank[by:] + 1, np.zeros(by, np.int64)]) if by else rank + 1
 
@@ -75,8 +86,8 @@ class FMIndex:
     def _order(self, rank: np.ndarray, by: int) -> np.ndarray:
         return np.argsort(rank * (int(rank.max()) + 2) + self._shift(rank, by), kind="stable") if len(rank) else rank
 
-    def _pairs_equal(self, rank: np.ndarray, by: int) -> np.ndarray:
-        a, b = rank[self.order], self._shift(rank, by)[self.order]
+    def _pairs_equal(self, rank: np.ndarray, order: np.ndarray, by: int) -> np.ndarray:
+        a, b = rank[order], self._shift(rank, by)[order]
         return np.concatenate([[False], (a[1:] == a[:-1]) & (b[1:] == b[:-1])]) if len(rank) else np.zeros(0, bool)
 
     def step(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,7 +111,7 @@ class FMIndex:
             hit = lo < hi
             length[live[hit]] = k
             if k == self.depth:
-                where[live[hit]] = self.order[lo[hit]]
+                where[live[hit]] = self.position(lo[hit])
         return length, where
 
     def first_occurrences(self, text: np.ndarray, last: np.ndarray, windows: np.ndarray):
@@ -122,13 +133,12 @@ class FMIndex:
                     h = np.maximum(l, h)
                 lo[fresh], hi[fresh] = l, h
             hit = lo < hi
-            yield at, np.where(hit, self.order[np.minimum(lo, self.size - 1)], -1)
+            yield at, np.where(hit, self.position(np.minimum(lo, self.size - 1)), -1)
             back += 1
             on = windows[live] > back
             live, at, lo, hi, hit = live[on], at[on] - 1, lo[on], hi[on], hit[on]
             # drop the last symbol, put one before
-            l = np.where(hit, self.first[np.minimum(lo, self.size - 1)], 0)
-            h = np.where(hit, self.end[np.minimum(lo, self.size - 1)], 0)
+            l, h = (np.where(hit, x, 0) for x in self.shorter(np.minimum(lo, max(0, self.size - 1))))
             if len(live):
                 lo, hi = self.step(text[at], l, h)
             fresh = np.flatnonzero(~hit)
