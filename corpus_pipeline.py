@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pixelweave.llm import decontaminate, mixing, quality, simhash, token_files
-from pixelweave.llm.common import materialize, run_dir, table
+from pixelweave.llm.common import materialize, remove, run_dir, scratch, table
 from pixelweave.llm.queries import MIX_WEIGHTS
 
 
@@ -29,7 +29,7 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are mixed to the target weights, each document at most once."""
-    return mixing.mix(docs, fraction=0.8, weights=MIX_WEIGHTS, max_epochs=1).drop("__domain", "__tokens", "__epoch")
+    return mixing.mix(docs, fraction=0.8, weights=MIX_WEIGHTS, max_epochs=1, only_rows=True)
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,10 +43,17 @@ STAGES = [("quality rules", quality_stage), ("near-duplicates", dedup_stage), ("
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage. A stage's result is written to the shared folder; then what it worked with, and the result before it,
+    are removed."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        with scratch() as keep:
+            docs = materialize(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"), keep)
+        remove(before)
+        before = list(keep)
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    remove(before)  # the token files are written
+    return out
 
 
 #: The stages hash and learn in ways that SQL can't express.
