@@ -160,13 +160,18 @@ def _expand(grid: np.ndarray, color: int, depth: int, palette, trns) -> np.ndarr
 
 
 def encode(pixels: np.ndarray) -> bytes:
-    """RGBA, each row with the filter (none, sub, up) of the least sum of absolute differences."""
+    """RGBA, each row with the filter of the least sum of absolute differences."""
     pixels = to_rgba(pixels)
     height, width, _ = pixels.shape
     lines = pixels.reshape(height, width * 4)
     left = np.pad(lines, ((0, 0), (4, 0)))[:, :-4]
     up = np.vstack([np.zeros((1, width * 4), np.uint8), lines[:-1]])
-    options = np.stack([lines, lines - left, lines - up])
+    corner = np.pad(up, ((0, 0), (4, 0)))[:, :-4]
+    mean = ((left.astype(np.int16) + up) >> 1).astype(np.uint8)
+    a, b, c = (x.astype(np.int16) for x in (left, up, corner))
+    to_a, to_b, to_c = np.abs(b - c), np.abs(a - c), np.abs(a + b - 2 * c)
+    near = np.where((to_a <= to_b) & (to_a <= to_c), left, np.where(to_b <= to_c, up, corner))
+    options = np.stack([lines, lines - left, lines - up, lines - mean, lines - near])
     cost = np.abs(options.view(np.int8).astype(np.int64)).sum(axis=2)
     best = cost.argmin(axis=0)
     rows = np.concatenate([best[:, None].astype(np.uint8), options[best, np.arange(height)]], axis=1)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import RGB, RGBA, clamp_int
-from . import compose, geometry
+from . import compose
 
 ONE = 65536
 
@@ -97,34 +97,38 @@ def axis_weights(size: int, out: int, kernel: str) -> list[tuple[int, int, int]]
     return rows
 
 
-def _weights_of(sizes: DataFrame, out: Column, size: str, kernel: str) -> DataFrame:
-    """(__in, __out, o, i, w) for each distinct size, made where the sizes are."""
+def _weights_of(sizes: DataFrame, kernel: str) -> DataFrame:
+    """(size, to, o, i, w) for each pair of sizes, made where the sizes are."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for a, b in zip(frame["a"], frame["b"], strict=True):
+            for a, b in zip(frame["size"], frame["to"], strict=True):
                 w = np.array(axis_weights(int(a), int(b), kernel), np.int64).reshape(-1, 3)
-                yield pd.DataFrame({"__in": a, "__out": b, "o": w[:, 0], "i": w[:, 1], "w": w[:, 2]})
+                yield pd.DataFrame({"size": a, "to": b, "o": w[:, 0], "i": w[:, 1], "w": w[:, 2]})
 
-    return sizes.select(F.col(size).alias("a"), out.cast("int").alias("b")).distinct().mapInPandas(run, "__in int, __out int, o int, i int, w bigint")
+    return sizes.distinct().mapInPandas(run, "size int, to int, o int, i int, w bigint")
 
 
-def _resample(pixels: DataFrame, sizes: DataFrame, size: str, along: str, out: Column, kernel: str) -> DataFrame:
+def _resample(pixels: DataFrame, size: str, along: str, kernel: str) -> DataFrame:
+    """One axis of images with the columns to_width and to_height."""
     other = {"x": "y", "y": "x"}[along]
-    weights = _weights_of(sizes, out, size, kernel).withColumnRenamed("i", along).withColumnRenamed("__in", size)
-    keys = ["image_id", other, *(c for c in ("width", "height") if c != size)]
-    joined = pixels.join(weights, [size, along])
-    sums = joined.groupBy(*keys, F.col("o").alias(along), F.col("__out").alias(size)).agg(*(F.sum(F.col(c) * F.col("w")).alias(c) for c in RGBA))
-    return sums.withColumns({c: F.expr(f"least(255, (greatest({c}, 0) + {ONE // 2}) div {ONE})").cast("int") for c in RGBA})
+    sizes = pixels.select(F.col(size).alias("size"), F.col(f"to_{size}").alias("to"))
+    weights = _weights_of(sizes, kernel).select(F.col("size").alias(size), F.col("to").alias(f"to_{size}"), F.col("i").alias(along), "o", "w")
+    keys = ["image_id", other, "to_width", "to_height", *(c for c in ("width", "height") if c != size)]
+    sums = pixels.join(weights, [size, f"to_{size}", along]).groupBy(*keys, F.col("o").alias(along)).agg(*(F.sum(F.col(c) * F.col("w")).alias(c) for c in RGBA))
+    return sums.withColumns({c: F.expr(f"least(255, (greatest({c}, 0) + {ONE // 2}) div {ONE})").cast("int") for c in RGBA}).withColumn(size, F.col(f"to_{size}"))
 
 
-def resize(pixels: DataFrame, width: int, height: int, kernel: str = "lanczos3") -> DataFrame:
-    """Columns first, then rows, rounded and clamped after each. Images of any sizes get one size."""
+def resize(pixels: DataFrame, width: int | Column, height: int | Column, kernel: str = "lanczos3") -> DataFrame:
+    """Columns first, then rows, rounded and clamped after each. The new size is the same for all images, or a column's for each; one
+    plan whatever the sizes are."""
     if kernel != "nearest" and kernel not in KERNELS:
         raise ValueError(f"unknown kernel {kernel}")
-    for size, along, out in (("height", "y", height), ("width", "x", width)):
-        pixels = _resample(pixels, pixels.select(size), size, along, F.lit(max(1, out)), kernel)
-    return pixels.select("image_id", "x", "y", *RGBA, "width", "height")
+    to = {f"to_{k}": (v if isinstance(v, Column) else F.lit(max(1, v))).cast("int") for k, v in (("width", width), ("height", height))}
+    sized = pixels.select("image_id", "x", "y", *RGBA, "width", "height").withColumns(to)
+    for size, along in (("height", "y"), ("width", "x")):
+        sized = _resample(sized, size, along, kernel)
+    return sized.select("image_id", "x", "y", *RGBA, "width", "height")
 
 
 def thumbnail_size(width: int, height: int, most: int) -> tuple[int, int]:
@@ -137,40 +141,42 @@ def thumbnail_size(width: int, height: int, most: int) -> tuple[int, int]:
     return near(width), near(height)
 
 
-def resize_each(pixels: DataFrame, size_of, kernel: str = "lanczos3") -> DataFrame:
-    """Images of any sizes: size_of maps (width, height) to a target; one plan per distinct size, of which there are few."""
-    out = None
-    for r in pixels.select("width", "height").distinct().collect():
-        own = pixels.where((F.col("width") == r.width) & (F.col("height") == r.height))
-        w, h = size_of(r.width, r.height)
-        own = own if (w, h) == (r.width, r.height) else resize(own, w, h, kernel)
-        own = own.select("image_id", "x", "y", *RGBA, "width", "height")
-        out = own if out is None else out.unionAll(own)
-    return out if out is not None else pixels
+def _scaled(scale: Column) -> tuple[Column, Column]:
+    """The sides by a scale, in single precision, rounded and at least 1."""
+    side = lambda c: F.greatest(F.lit(1), F.floor((F.col(c).cast("float") * scale).cast("float") + F.lit(0.5).cast("float")).cast("int"))
+    return side("width"), side("height")
 
 
-def thumbnail(pixels: DataFrame, most: int) -> DataFrame:
-    return resize_each(pixels, lambda w, h: thumbnail_size(w, h, most))
+def _ratio(to: int, side: str) -> Column:
+    return (F.lit(to).cast("float") / F.col(side).cast("float")).cast("float")
 
 
-def fit(pixels: DataFrame, width: int, height: int, mode: str, size: tuple[int, int]) -> DataFrame:
-    """Images of one size into a box. stretch: resize; fit: centred on transparency; fill: cover, then a centre crop."""
-    w, h = size
+def thumbnail(pixels: DataFrame, most: int, kernel: str = "lanczos3") -> DataFrame:
+    """Images of any sizes, each to its size of at most that side; smaller ones stay as they are."""
+    if most < 1:
+        raise ValueError("the largest side must be positive")
+    width, height = _scaled(F.least(_ratio(most, "width"), _ratio(most, "height")))
+    large = (F.col("width") > most) | (F.col("height") > most)
+    out = ["image_id", "x", "y", *RGBA, "width", "height"]
+    return resize(pixels.where(large), width, height, kernel).unionByName(pixels.where(~large).select(out))
+
+
+def fit(pixels: DataFrame, width: int, height: int, mode: str) -> DataFrame:
+    """Images of any sizes into a box. stretch: resize; fit: centred on transparency; fill: cover, then a centre crop."""
     if mode == "stretch":
         return resize(pixels, width, height)
     if mode not in ("fit", "fill"):
         raise ValueError(f"unknown mode {mode}")
-    ratios = np.float32(width) / np.float32(w), np.float32(height) / np.float32(h)
-    scale = min(ratios) if mode == "fit" else max(ratios)
-    near = lambda v: max(1, int(np.floor(np.float32(v) * scale + np.float32(0.5))))
-    nw, nh = near(w), near(h)
-    scaled = resize(pixels, nw, nh)
+    ratios = _ratio(width, "width"), _ratio(height, "height")
+    scaled = resize(pixels, *_scaled(F.least(*ratios) if mode == "fit" else F.greatest(*ratios)))
     if mode == "fill":
-        nw2, nh2 = max(nw, width), max(nh, height)
-        return geometry.crop(scaled, (nw2 - width) // 2, (nh2 - height) // 2, width, height)
+        left, top = F.expr(f"(greatest(width, {width}) - {width}) div 2").cast("int"), F.expr(f"(greatest(height, {height}) - {height}) div 2").cast("int")
+        moved = scaled.withColumns({"x": F.col("x") - left, "y": F.col("y") - top}).where(F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1))
+        return moved.withColumns({"width": F.lit(width), "height": F.lit(height)})
     cells = pixels.select("image_id").distinct().select("image_id", F.explode(F.sequence(F.lit(0), F.lit(width * height - 1))).alias("p"))
     canvas = cells.select("image_id", (F.col("p") % width).cast("int").alias("x"), F.expr(f"p div {width}").cast("int").alias("y"), *(F.lit(0).alias(c) for c in RGBA), F.lit(width).alias("width"), F.lit(height).alias("height"))
-    return compose.overlay(canvas, scaled, (width - nw) // 2, (height - nh) // 2)
+    left, top = F.expr(f"({width} - width) div 2").cast("int"), F.expr(f"({height} - height) div 2").cast("int")
+    return compose.overlay(canvas, scaled.withColumns({"x": F.col("x") + left, "y": F.col("y") + top}), 0, 0)
 
 
 def perspective_skew(pixels: DataFrame, skew: float) -> DataFrame:

@@ -21,8 +21,8 @@ SQL: dict[str, str] = {}
 COLUMNS = "image_id, x, y, r, g, b, a"
 
 _V = lambda k: f"CAST(CAST(floor(abs(embedding[((p + {k}) % 64) + 1]::FLOAT * 1000::FLOAT)) AS BIGINT) % 256 AS INT)"
-E8 = f"e8 AS (SELECT vec_id AS image_id, CAST(p % 8 AS INT) AS x, CAST(p // 8 AS INT) AS y, {_V(0)} AS r, {_V(1)} AS g, {_V(2)} AS b, CASE WHEN (vec_id + p) % 7 = 0 THEN 0 ELSE 255 END AS a FROM embeddings, range(64) t(p))"
-PHOTO = "photo AS (SELECT CAST(n_nationkey AS BIGINT) AS image_id, CAST(x AS INT) AS x, CAST(y AS INT) AS y, CAST((4 * x + 2 * y + n_nationkey) % 256 AS INT) AS r, CAST((5 * y + x) % 256 AS INT) AS g, CAST(((x * x + y * y) // 7) % 256 AS INT) AS b, 255 AS a FROM nation, range(64) s(x), range(48) t(y))"
+E8 = f"e8 AS MATERIALIZED (SELECT vec_id AS image_id, CAST(p % 8 AS INT) AS x, CAST(p // 8 AS INT) AS y, {_V(0)} AS r, {_V(1)} AS g, {_V(2)} AS b, CASE WHEN (vec_id + p) % 7 = 0 THEN 0 ELSE 255 END AS a FROM embeddings, range(64) t(p))"
+PHOTO = "photo AS MATERIALIZED (SELECT CAST(n_nationkey AS BIGINT) AS image_id, CAST(x AS INT) AS x, CAST(y AS INT) AS y, CAST((4 * x + 2 * y + n_nationkey) % 256 AS INT) AS r, CAST((5 * y + x) % 256 AS INT) AS g, CAST(((x * x + y * y) // 7) % 256 AS INT) AS b, 255 AS a FROM nation, range(64) s(x), range(48) t(y))"
 
 
 def query(name: str, sql: str | None = None, source: str = "e8"):
@@ -109,8 +109,8 @@ def _layer(p: DataFrame, alpha: int | None = None) -> DataFrame:
     return top.withColumn("a", F.lit(alpha) if alpha is not None else ((F.col("x") * 17 + F.col("y")) % 256).cast("int"))
 
 
-_JOIN = "(SELECT d.*, t.b AS tr, t.r AS tg, t.g AS tb, {a} AS ta FROM @ d LEFT JOIN @ t ON t.image_id = d.image_id AND t.x < 16 AND t.y < 16 AND t.x + 4 = d.x AND t.y + 4 = d.y)"
-_OVER = _JOIN.format(a="(t.x * 17 + t.y) % 256")
+_JOIN = "(SELECT d.*, t.tr, t.tg, t.tb, t.ta FROM @ d LEFT JOIN (SELECT image_id, x + 4 AS x, y + 4 AS y, b AS tr, r AS tg, g AS tb, {a} AS ta FROM @ WHERE x < 16 AND y < 16) t ON t.image_id = d.image_id AND t.x = d.x AND t.y = d.y)"
+_OVER = _JOIN.format(a="(x * 17 + y) % 256")
 _AF, _AB = "(ta::FLOAT / 255::FLOAT)", "(a::FLOAT / 255::FLOAT)"
 _AL = f"({_AB} + {_AF} - {_AB} * {_AF})"
 _pick = lambda c, v: f"CASE WHEN ta IS NULL OR ta = 0 THEN {c} WHEN ta = 255 OR a = 0 THEN t{c} ELSE CAST(trunc({v} * 255::FLOAT) AS INT) END"
@@ -124,7 +124,7 @@ for _m, _f in _FORMS.items():
         _new[_c] = f"CASE WHEN ta IS NULL THEN {_c} ELSE " + _near(f"{_c}::FLOAT * (1::FLOAT - {_ST}) + {_near(f'({_value}) * 255::FLOAT')}::FLOAT * {_ST}") + " END"
     if _m == "normal":
         _new["a"] = "CASE WHEN ta IS NULL THEN a ELSE " + _near(f"({_AB} + {_ST} * (1::FLOAT - {_AB})) * 255::FLOAT") + " END"
-    query(f"blend_{_m}", _project(**_new).replace("FROM @", "FROM " + _JOIN.format(a="200 + 0 * t.x")), "photo")(lambda p, m=_m: compose.blend(p, _layer(p, 200), m, 0.8, 4, 4))
+    query(f"blend_{_m}", _project(**_new).replace("FROM @", "FROM " + _JOIN.format(a="200")), "photo")(lambda p, m=_m: compose.blend(p, _layer(p, 200), m, 0.8, 4, 4))
 query("alpha_mask", f"SELECT d.image_id, d.x, d.y, d.r, d.g, d.b, CAST(d.a * m.m // 255 AS INT) AS a FROM @ d JOIN (SELECT image_id, 63 - x AS x, y, {_near(LUMA)} AS m FROM @) m ON m.image_id = d.image_id AND m.x = d.x AND m.y = d.y", "photo")(lambda p: compose.alpha_mask(p, geometry.flip_horizontal(p)))
 _WM = "CAST(180::FLOAT / 255::FLOAT * 0.85::FLOAT AS FLOAT)"
 query("watermark_bar", _project(**{c: f"CASE WHEN x BETWEEN 3 AND 33 AND y BETWEEN 30 AND 34 THEN {_near(f'{c}::FLOAT * (1::FLOAT - {_WM}) + {v}::FLOAT * {_WM}')} ELSE {c} END" for c, v in zip(RGB, (250, 240, 10), strict=True)}), "photo")(lambda p: compose.watermark_bar(p, "water", 3, 30, 10.3, (250, 240, 10, 180)))
@@ -157,10 +157,10 @@ def _resize_sql(source: str, size: tuple[int, int], out: tuple[int, int], kernel
 
 for _k in ("nearest", "triangle", "catmull_rom", "gaussian", "lanczos3"):
     query(f"resize_{_k}", _resize_sql("SELECT * FROM @", (64, 48), (24, 30), _k), "photo")(lambda p, k=_k: neighbor.resize(p, 24, 30, k))
-query("thumbnail", _resize_sql("SELECT * FROM @", (64, 48), (32, 24), "lanczos3"), "photo")(lambda p: neighbor.resize(p, *neighbor.thumbnail_size(64, 48, 32)))
-query("fit_stretch", _resize_sql("SELECT * FROM @", (64, 48), (40, 40), "lanczos3"), "photo")(lambda p: neighbor.fit(p, 40, 40, "stretch", (64, 48)))
-query("fit_fill", f"SELECT image_id, x - 6 AS x, y, r, g, b, a FROM ({_resize_sql('SELECT * FROM @', (64, 48), (53, 40), 'lanczos3')}) WHERE x BETWEEN 6 AND 45", "photo")(lambda p: neighbor.fit(p, 40, 40, "fill", (64, 48)))
-query("fit_fit", "SELECT c.image_id, CAST(c.x AS INT) AS x, CAST(c.y AS INT) AS y, " + ", ".join(f"coalesce(s.{c}, 0) AS {c}" for c in RGBA) + f" FROM (SELECT DISTINCT image_id, px.x, py.y FROM @, range(40) px(x), range(40) py(y)) c LEFT JOIN ({_resize_sql('SELECT * FROM @', (64, 48), (40, 30), 'lanczos3')}) s ON s.image_id = c.image_id AND s.x = c.x AND s.y + 5 = c.y", "photo")(lambda p: neighbor.fit(p, 40, 40, "fit", (64, 48)))
+query("thumbnail", _resize_sql("SELECT * FROM @", (64, 48), (32, 24), "lanczos3"), "photo")(lambda p: neighbor.thumbnail(p, 32))
+query("fit_stretch", _resize_sql("SELECT * FROM @", (64, 48), (40, 40), "lanczos3"), "photo")(lambda p: neighbor.fit(p, 40, 40, "stretch"))
+query("fit_fill", f"SELECT image_id, x - 6 AS x, y, r, g, b, a FROM ({_resize_sql('SELECT * FROM @', (64, 48), (53, 40), 'lanczos3')}) WHERE x BETWEEN 6 AND 45", "photo")(lambda p: neighbor.fit(p, 40, 40, "fill"))
+query("fit_fit", "SELECT c.image_id, CAST(c.x AS INT) AS x, CAST(c.y AS INT) AS y, " + ", ".join(f"coalesce(s.{c}, 0) AS {c}" for c in RGBA) + f" FROM (SELECT DISTINCT image_id, px.x, py.y FROM @, range(40) px(x), range(40) py(y)) c LEFT JOIN ({_resize_sql('SELECT * FROM @', (64, 48), (40, 30), 'lanczos3')}) s ON s.image_id = c.image_id AND s.x = c.x AND s.y + 5 = c.y", "photo")(lambda p: neighbor.fit(p, 40, 40, "fit"))
 _SK = "(x * 65536 - 16384 * y)"
 query("perspective_skew", "SELECT w.image_id, w.x, w.y, " + ", ".join(f"CASE WHEN p.a IS NULL OR q.a IS NULL THEN 0 ELSE CAST((p.{c} * (65536 - w.f) + q.{c} * w.f + 32768) // 65536 AS INT) END AS {c}" for c in RGBA) + f" FROM (SELECT *, i + CASE WHEN f = 0 THEN 0 ELSE 1 END AS j FROM (SELECT image_id, x, y, CAST(floor({_SK} / 65536.0) AS INT) AS i, CAST({_SK} - floor({_SK} / 65536.0) * 65536 AS INT) AS f FROM @)) w LEFT JOIN @ p ON p.image_id = w.image_id AND p.y = w.y AND p.x = w.i LEFT JOIN @ q ON q.image_id = w.image_id AND q.y = w.y AND q.x = w.j", "photo")(lambda p: neighbor.perspective_skew(p, 0.25))
 query("flagship", f"SELECT image_id, {_MEANS}, 255 AS a FROM {_TOP} WHERE k = 1".replace("FROM @", "FROM (" + _step(_project(**_each("greatest(0, least(255, # + 6))")), r=_near("r::FLOAT + 3.6000001430511475::FLOAT"), b=_near("b::FLOAT - 3.6000001430511475::FLOAT")) + ")"), "photo")(lambda p: analyze.dominant_color(point.white_balance(point.brightness(p, 6), 12)))

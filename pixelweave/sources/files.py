@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +18,8 @@ ENDINGS = {"png": "Png", "jpg": "Jpeg", "jpeg": "Jpeg", "gif": "Gif", "bmp": "Bm
 IMAGES = "path string, width int, height int, format string, color_type string, pixels binary, error struct<kind:string,message:string>"
 METADATA = "path string, width int, height int, format string, color_type string, exif_orientation int, exif_date_taken string, exif_camera string, exif_exposure string, error struct<kind:string,message:string>"
 TILES = "num int, row int, col int, size bigint, offset bigint, mi_row_start int, mi_row_end int, mi_col_start int, mi_col_end int"
+#: Bytes of pixels that a batch holds before it is passed on.
+HELD = 4 << 20
 SNIFF = (("Png", png.is_png), ("Jpeg", jpeg.is_jpeg), ("Gif", gif.is_gif), ("Bmp", bmp.is_bmp), ("Ico", ico.is_ico), ("WebP", webp.is_webp), ("Avif", avif.is_avif))
 
 
@@ -72,7 +75,7 @@ def av1_tiles(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, f"path string, {TILES}, error struct<kind:string,message:string>")
 
 
-def _row(path, data: bytes, forced: str | None) -> dict:
+def decode_one(path, data: bytes, forced: str | None) -> dict:
     out = {"path": path, "width": None, "height": None, "format": None, "color_type": None, "pixels": None, "error": None}
     try:
         if (name := forced or sniff(data)) is None:
@@ -89,12 +92,20 @@ def decode(files: DataFrame, forced: str | None = None, strict: bool = False) ->
     """(path, content) to images. strict: the first bad file fails the query."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [x.split()[0] for x in IMAGES.split(", ")[:6]] + ["error"]
         for frame in frames:
-            for path, data in zip(frame["path"], frame["content"], strict=True):  # one image at a time in memory
-                row = _row(path, bytes(data or b""), forced)
+            rows, held = [], 0
+            for path, data in zip(frame["path"], frame["content"], strict=True):
+                row = decode_one(path, bytes(data or b""), forced)
                 if strict and row["error"]:
                     raise ValueError(f"{path}: {row['error']['message']}")
-                yield pd.DataFrame([row], columns=list(row))
+                rows.append(row)
+                held += len(row["pixels"] or b"")
+                if held >= HELD:  # small images together, large ones one at a time
+                    yield pd.DataFrame(rows, columns=names).astype({"width": "Int32", "height": "Int32"})
+                    rows, held = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=names).astype({"width": "Int32", "height": "Int32"})
 
     return files.select("path", "content").mapInPandas(run, IMAGES)
 
@@ -157,25 +168,54 @@ def save(images: DataFrame, path: str, name: str, quality: int = 75) -> None:
 
 
 def pack(pixels: DataFrame) -> DataFrame:
-    """Pixels to one row per image: image_id, width, height, format, pixels."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        w, h = int(frame["x"].max()) + 1, int(frame["y"].max()) + 1
-        out = np.zeros((h, w, 4), np.uint8)
-        out[frame["y"], frame["x"]] = frame[["r", "g", "b", "a"]].to_numpy(np.uint8)
-        return pd.DataFrame({"image_id": [frame["image_id"].iloc[0]], "width": [w], "height": [h], "format": [None], "pixels": [out.tobytes()]})
-
-    return pixels.select("image_id", "x", "y", "r", "g", "b", "a").groupBy("image_id").applyInPandas(run, "image_id bigint, width int, height int, format string, pixels binary")
+    """Pixels to one row per image: image_id, width, height, format, pixels. The size is that of the columns width and height, or
+    without these reaches to the largest pixel; pixels that are missing are transparent black. Lines are put together first, so that
+    an image is a row a line before it is one row; images are shuffled once."""
+    sized = {"width", "height"} <= set(pixels.columns)
+    spread = pixels.repartition("image_id")
+    at = F.struct(F.col("x").alias("at"), F.concat(*(F.lpad(F.hex(c), 2, "0") for c in "rgba")).alias("v"))
+    size = [F.max("width").alias("width"), F.max("height").alias("height")] if sized else [(F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height")]
+    whole = spread.groupBy("image_id").agg(*size)
+    lines = spread.groupBy("image_id", "y").agg(F.sort_array(F.collect_list(at)).alias("line"))
+    lines = lines.join(whole, "image_id").select("image_id", "width", "height", F.struct(F.col("y").alias("at"), _joined("line", F.col("width"), "00000000").alias("v")).alias("line"))
+    images = lines.groupBy("image_id", "width", "height").agg(F.sort_array(F.collect_list("line")).alias("lines"))
+    hexed = _joined("lines", F.col("height"), F.repeat(F.lit("00000000"), F.col("width")))
+    return images.select("image_id", "width", "height", F.lit(None).cast("string").alias("format"), F.unhex(hexed).alias("pixels"))
+
+
+def _joined(parts: str, n: Column, empty: str | Column) -> Column:
+    """The values of sorted (at, v) parts joined; of the n places, those without a part are empty."""
+    empty = F.lit(empty) if isinstance(empty, str) else empty
+    own = F.col(parts)
+    places = F.map_from_entries(own)
+    filled = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.coalesce(F.try_element_at(places, i), empty))
+    return F.array_join(F.when(F.size(own) == n, F.transform(own, lambda p: p["v"])).otherwise(filled), "")
 
 
 def unpack(images: DataFrame) -> DataFrame:
-    """image_id, width, height, pixels to pixel rows, an image at a time."""
+    """image_id, width, height, pixels to pixel rows. An image whose pixels aren't 4 bytes for each of width x height fails the query."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for i, w, h, raw in zip(frame["image_id"], frame["width"], frame["height"], frame["pixels"], strict=True):
-                p = np.frombuffer(raw, np.uint8).reshape(-1, 4).astype(np.int32)
-                n = np.arange(len(p), dtype=np.int32)
-                yield pd.DataFrame({"image_id": i, "x": n % w, "y": n // w, "r": p[:, 0], "g": p[:, 1], "b": p[:, 2], "a": p[:, 3]})
-
-    return images.select("image_id", "width", "height", "pixels").mapInPandas(run, "image_id bigint, x int, y int, r int, g int, b int, a int")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, held = [], 0
+            for i, w, h, raw in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3), strict=True):
+                raw = raw.as_buffer()
+                if not w or not h or w < 0 or raw is None or raw.size != 4 * w * h:
+                    raise ValueError(f"image {i}: {raw.size if raw else 0} bytes of pixels, {w} x {h} have {4 * (w or 0) * (h or 0)}")
+                rows.append((i, w, np.frombuffer(raw, np.uint8).reshape(-1, 4)))
+                held += raw.size
+                if held >= HELD:
+                    yield _pixel_rows(rows)
+                    rows, held = [], 0
+            if rows:
+                yield _pixel_rows(rows)
+
+    return images.select("image_id", "width", "height", "pixels").mapInArrow(run, "image_id bigint, x int, y int, r int, g int, b int, a int")
+
+
+def _pixel_rows(rows: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+    sizes = [len(p) for _, _, p in rows]
+    n = np.concatenate([np.arange(k, dtype=np.int32) for k in sizes])
+    width = np.repeat(np.array([w for _, w, _ in rows], np.int32), sizes)
+    values = np.concatenate([p for _, _, p in rows]).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([i for i, _, _ in rows], np.int64), sizes)), pa.array(n % width), pa.array(n // width), *(pa.array(values[:, k]) for k in range(4))], names=["image_id", "x", "y", *"rgba"])
