@@ -8,11 +8,12 @@ word GRAM-grams in it, so that equal windows have equal anchors wherever they ar
 
 First each batch of the scan is a shard: its segments with an anchor that the batch repeats go through an index of their own, and
 what repeats there goes no further (a passage in a third of all documents is one segment a batch before anything is shuffled).
-What is left and has an anchor that other batches have too is dealt by anchor to shards of about SHARD_WORDS words.
+Equal segments that are left, of several batches, have the same matching statistics, so the earliest stands for all, and the windows
+of the others are repeats. Anchors that still have several segments are dealt to shards of about SHARD_WORDS words, and streamed
+through the shards' indexes.
 
-An anchor with over HOT segments left would make a shard too large. Its windows are dealt by their own hash, each a segment; a
-window with over HOT occurrences left is dealt in slices of HOT, each with the earliest one. (Windows with equal 64-bit hashes
-that differ would be compared in their slice only; no other step relies on hashes.)
+An anchor with over HOT different segments would make a shard too large. Its windows are dealt by their own hash, each a segment,
+and equal ones are put together in the same way.
 
 Documents order by id; rows that share an id, or have none, order by the hash of their text (nulls first), rows that
 repeat in id and text count as one document and all get its result. Null or empty text has no words: nothing is removed.
@@ -34,7 +35,9 @@ from .fm_index import FMIndex
 
 SIZE, GRAM = 20, 8
 SHARD_WORDS, HOT = 400_000, 20_000
-SEGMENT = "anchor bigint, key bigint, at bigint"
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+SEGMENT = "anchor bigint, seg bigint, key bigint, at bigint"
 #: at: (start << 24 | windows << 1 | 1 if the windows are known to be repeats)
 _AT = 24
 _MOST = (1 << (_AT - 1)) - 1
@@ -69,6 +72,18 @@ def windows(h: np.ndarray, lengths: np.ndarray, size: int, gram: int) -> tuple[n
     return at, place, g[place]
 
 
+def contents(h: np.ndarray, begin: np.ndarray, count: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the words of segments, by prefix sums."""
+
+    def powers(x: np.uint64) -> np.ndarray:
+        out = np.full(len(h) + 1, x, np.uint64)
+        out[0] = 1
+        return np.cumprod(out, dtype=np.uint64)
+
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * powers(_ODD)[: len(h)], dtype=np.uint64)])
+    return mix((sums[begin + count + size - 1] - sums[begin]) * powers(_INVERSE)[begin] + count.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 def local_repeats(h: np.ndarray, at: np.ndarray, place: np.ndarray, anchor: np.ndarray, size: int) -> np.ndarray:
     """Which of the windows occur earlier in the same texts, whose order is that of their documents."""
     first, count = _runs(at, place)
@@ -105,42 +120,56 @@ def _cut(size: int, gram: int):
                     first, count = _runs(at[w], owner[at[w]], *(() if known else (place[w],)))
                     a = at[w][first]
                     # rows known to be repeats have no anchor
-                    out.append((anchor[w][first].view(np.int64) * (1 - known), key[owner[a]], (a - begin[owner[a]] << _AT) | (count << 1) | known))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["anchor", "key", "at"])
+                    what = [np.zeros(len(a), np.int64)] * 2 if known else [anchor[w][first].view(np.int64), contents(h, a, count, size).view(np.int64)]
+                    out.append((*what, key[owner[a]], (a - begin[owner[a]] << _AT) | (count << 1) | known))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["anchor", "seg", "key", "at"])
 
     return run
 
 
-def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows to those known to be repeats (number -1) and those whose anchor others have too, numbered in their anchor's order.
-    Only one row is carried from batch to batch."""
-    carry = None  # anchor, key, at, number, passed on already
+def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows of all segments to repeats (kind 0) and the first ones of anchors with several contents (kind 1, with
+    their number in the anchor). Only two rows are carried from batch to batch."""
+    carry = None  # anchor, seg, key, at, done (passed on already), number
     for batch in batches:
-        anchor, key, at = (batch.column(i).to_numpy() for i in range(3))
+        anchor, seg, key, at = (batch.column(i).to_numpy() for i in range(4))
         known = (at & 1).astype(bool)
-        out = [(np.full(int(known.sum()), -1), anchor[known], key[known], at[known])]
-        anchor, key, at = anchor[~known], key[~known], at[~known]
-        passed = np.zeros(len(anchor), bool)
+        out = [(np.zeros(int(known.sum()), np.int64), anchor[known], key[known], at[known])]
+        anchor, seg, key, at = anchor[~known], seg[~known], key[~known], at[~known]
+        done, number = np.zeros(len(anchor), bool), np.zeros(len(anchor), np.int64)
         if carry is not None:
-            anchor, key, at, passed = (np.concatenate([[x], y]) for x, y in zip((*carry[:3], carry[4]), (anchor, key, at, passed), strict=True))
+            anchor, seg, key, at, done, number = (np.concatenate(x) for x in zip(carry, (anchor, seg, key, at, done, number), strict=True))
         if len(anchor):
-            first = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
-            count = np.diff(np.r_[first, len(anchor)])
-            number = np.arange(len(anchor)) - np.repeat(first, count)
-            if carry is not None:
-                number[: count[0]] += carry[3]
-            go = np.repeat(count > 1, count) & ~passed
-            out.append((number[go], anchor[go], key[go], at[go]))
-            carry = (anchor[-1], key[-1], at[-1], int(number[-1]), bool(go[-1] or passed[-1]))
+            new_anchor = np.r_[True, anchor[1:] != anchor[:-1]]
+            first = np.r_[True, new_anchor[1:] | (seg[1:] != seg[:-1])]
+            again = ~first & ~done
+            out.append((np.zeros(int(again.sum()), np.int64), anchor[again], key[again], at[again]))
+            group = np.cumsum(new_anchor) - 1
+            contents = np.bincount(group[first])
+            # numbers go on from the carried ones
+            rank = np.cumsum(first) - 1
+            rank = rank - rank[np.flatnonzero(new_anchor)][group]
+            if carry is not None and len(carry[0]) == 2:
+                rank = np.where(group == 0, rank + carry[5][1] - 1, rank)
+            passed = first & ~done & (contents[group] > 1)
+            out.append((1 + rank[passed], anchor[passed], key[passed], at[passed]))
+            last = np.flatnonzero(first & (group == group[-1]))
+            head, tail = last[0], last[-1]
+            some = contents[group[-1]] > 1
+            if head == tail:
+                carry = (anchor[[head]], seg[[head]], key[[head]], at[[head]], np.array([some]), rank[[head]])
+            else:
+                keep = [head, tail]
+                carry = (anchor[keep], seg[keep], key[keep], at[keep], np.array([True, True]), rank[keep])
         kind, a, k, p = (np.concatenate(x) for x in zip(*out, strict=True))
         if len(kind):
-            yield pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int64)), pa.array(a), pa.array(k), pa.array(p)], names=["number", "anchor", "key", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(a), pa.array(k), pa.array(p)], names=["kind", "anchor", "key", "at"])
 
 
 def _sorted_by_anchor(rows: DataFrame) -> DataFrame:
     # rows known to be repeats only pass through, so they are dealt evenly
     deal = F.when(F.col("at").bitwiseAND(F.lit(1)) == 1, F.xxhash64("key", "at")).otherwise(F.col("anchor"))
-    return rows.repartition(deal).sortWithinPartitions("anchor", "key", "at")
+    return rows.repartition(deal).sortWithinPartitions("anchor", "seg", "key", "at")
 
 
 def _shard_rows(size: int, shards: int):
@@ -193,8 +222,6 @@ def _search(size: int):
 
         def work():
             order = sorted(range(len(held)), key=lambda i: held[i][:2])
-            # the earliest of a window with several slices may be here more than once
-            order = [i for i, before in zip(order, [None, *order[:-1]], strict=True) if before is None or held[i][:2] != held[before][:2]]
             key = np.array([held[i][0] for i in order], np.int64)
             start = np.array([held[i][1] for i in order], np.int64)
             k, s = shard_repeats(key, start, [held[i][2] for i in order], size)
@@ -220,24 +247,34 @@ def _search(size: int):
 def repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, shard_words: int = SHARD_WORDS, hot: int = HOT) -> DataFrame:
     """docs: unique key and text. Runs of repeated windows: key and at."""
     rows = docs.select("key", "text").where("text is not null").mapInArrow(_cut(size, gram), SEGMENT)
-    hot, numbered = max(1, hot), "number bigint, anchor bigint, key bigint, at bigint"
-    found = materialize(_sorted_by_anchor(rows).mapInArrow(_several, numbered), "segments")
-    done = [found.where("number < 0").select("key", "at")]
-    held = found.where("number >= 0").select("anchor", "key", "at")
-    often = materialize(found.where(F.col("number") >= hot).select("anchor").distinct(), "hot-anchors")
+    kinds = "kind bigint, anchor bigint, key bigint, at bigint"
+    found = materialize(_sorted_by_anchor(rows).mapInArrow(_resolve, kinds), "segments")
+    done = [found.where("kind = 0").select("key", "at")]
+    first = found.where("kind > 0")
+    often = materialize(first.where(F.col("kind") > hot).select("anchor").distinct(), "hot-anchors")
     if not often.isEmpty():  # one window a segment, dealt by its own hash
-        split = docs.select("key", "text").join(held.join(often, "anchor", "left_semi").groupBy("key").agg(F.collect_list("at").alias("parts")), "key")
-        single = materialize(_sorted_by_anchor(split.mapInArrow(_windows(size), SEGMENT)).mapInArrow(_several, numbered), "hot-windows")
-        sliced = single.select(F.xxhash64("anchor", F.floor(F.col("number") / hot)).alias("anchor"), "key", "at")
-        more = single.where(F.col("number") > 0).groupBy("anchor").agg(F.floor(F.max("number") / hot).alias("slices")).where("slices > 0")
-        earliest = single.where("number = 0").join(more, "anchor").select("anchor", F.explode(F.sequence(F.lit(1).cast("bigint"), "slices")).alias("slice"), "key", "at")
-        held = held.join(often, "anchor", "left_anti").union(sliced).union(earliest.select(F.xxhash64("anchor", "slice").alias("anchor"), "key", "at"))
-    words = held.agg(F.sum(F.shiftright("at", 1).bitwiseAND(F.lit(_MOST)) + size).alias("n")).first().n or 0
+        split = docs.select("key", "text").join(first.join(often, "anchor", "left_semi").groupBy("key").agg(F.collect_list("at").alias("parts")), "key")
+        again = materialize(_sorted_by_anchor(split.mapInArrow(_windows(size), SEGMENT)).mapInArrow(_resolve, kinds), "hot-windows")
+        done.append(again.where("kind = 0").select("key", "at"))
+        first = first.join(often, "anchor", "left_anti").union(again.where("kind > 0"))
+    words = first.agg(F.sum(F.shiftright("at", 1).bitwiseAND(F.lit(_MOST)) + size).alias("n")).first().n or 0
     shards = max(1, -(-words // shard_words))
-    parts = held.groupBy("key").agg(F.collect_list(F.struct("anchor", "at")).alias("parts"))
+    parts = first.groupBy("key").agg(F.collect_list(F.struct("anchor", "at")).alias("parts"))
     cut = docs.select("key", "text").join(parts, "key").mapInArrow(_shard_rows(size, shards), "shard int, key bigint, start bigint, words array<bigint>")
     done.append(cut.repartition("shard").sortWithinPartitions("shard").mapInArrow(_search(size), "key bigint, at bigint"))
-    return done[0].union(done[1])
+    out = done[0]
+    for x in done[1:]:
+        out = out.union(x)
+    return out
+
+
+def _collapse(anchor, seg, key, start, count):
+    """Rows in order of (anchor, seg, key, start), those after the first of their anchor and content marked as repeats."""
+    order = np.lexsort((start, key, seg, anchor))
+    anchor, seg, key, start, count = (x[order] for x in (anchor, seg, key, start, count))
+    again = np.r_[False, (anchor[1:] == anchor[:-1]) & (seg[1:] == seg[:-1])] if len(anchor) else np.zeros(0, bool)
+    at = (start << _AT) | (count << 1) | again
+    return pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(seg.view(np.int64)), pa.array(key), pa.array(at)], names=["anchor", "seg", "key", "at"])
 
 
 def _windows(size: int):
@@ -246,16 +283,20 @@ def _windows(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, 1, 4 << 20):
-                out = [[], [], []]
+                out = [[], [], [], []]
                 for k, text, parts in zip(piece.column(0).to_pylist(), as_bytes(piece.column(1)), piece.column(2).to_pylist(), strict=True):
-                    own = windows_hash(word_hashes(text.split()), size)
+                    h = word_hashes(text.split())
+                    own = windows_hash(h, size)
+                    other = mix(windows_hash(h[::-1], size)[::-1] + np.uint64(1))
                     for p in parts:
                         a, n = p >> _AT, (p >> 1) & _MOST
-                        out[0].append(own[a : a + n].view(np.int64))
-                        out[1].append(np.full(n, k, np.int64))
-                        out[2].append((np.arange(a, a + n) << _AT) | 2)
+                        out[0].append(own[a : a + n])
+                        out[1].append(other[a : a + n])
+                        out[2].append(np.full(n, k, np.int64))
+                        out[3].append(np.arange(a, a + n))
                 if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["anchor", "key", "at"])
+                    anchor, seg, key, start = map(np.concatenate, out)
+                    yield _collapse(anchor, seg, key, start, np.ones(len(key), np.int64))
 
     return run
 

@@ -181,7 +181,7 @@ def strip_by_hand(rows, size=20):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"hot": 1}, {"hot": 3, "shard_words": 900}, {"shard_words": 500}])
+@pytest.mark.parametrize("options", [{}, {"hot": 0}, {"hot": 3, "shard_words": 900}, {"shard_words": 500}])
 def test_substring_dedup(spark, docs, options):
     got = {r.doc_id: tuple(r)[1:] for r in substring_dedup.strip_repeats(docs, 20, **options).collect()}
     assert got == strip_by_hand(corpus())
