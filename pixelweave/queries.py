@@ -6,11 +6,13 @@ E8: the embeddings as 8 x 8 images; PHOTO: a 64 x 48 pattern for each nation.
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import jobs
 from .functions.expr import RGB, RGBA, hex_color
 from .operators import analyze, compose, geometry, neighbor, point
 from .plans.chain import FilterChain
@@ -215,3 +217,58 @@ _ROT = f"(SELECT *, CAST(floor(u / 131072.0) AS INT) AS i, CAST(floor(v / 131072
 _ROT = f"(SELECT *, CAST((u - i::BIGINT * 131072) // 2 AS BIGINT) AS p, CAST((v - j::BIGINT * 131072) // 2 AS BIGINT) AS q FROM {_ROT})"
 _TAPS = " UNION ALL ".join(f"SELECT image_id, x, y, i + {_a} AS tx, j + {_b} AS ty, {'p' if _a else '(65536 - p)'} * {'q' if _b else '(65536 - q)'} AS w FROM {_ROT}" for _a in (0, 1) for _b in (0, 1))
 query("rotate_free", "SELECT t.image_id, t.x, t.y, " + ", ".join(f"CASE WHEN count(*) FILTER (WHERE s.a IS NULL) > 0 THEN {bg} ELSE CAST((sum(t.w * s.{c}) + 2147483648) // 4294967296 AS INT) END AS {c}" for c, bg in zip(RGBA, (10, 20, 30, 255), strict=True)) + f" FROM ({_TAPS}) t LEFT JOIN @ s ON s.image_id = t.image_id AND s.x = t.tx AND s.y = t.ty WHERE t.w > 0 GROUP BY t.image_id, t.x, t.y", "photo")(lambda p: neighbor.rotate_free(p, 30, (10, 20, 30, 255)))
+
+
+def _opened(images: DataFrame) -> DataFrame:
+    """Files (path, content), the path being the image's id, to pixels."""
+    return files.unpack(files.decode(images, strict=True).withColumn("image_id", F.col("path").cast("bigint")))
+
+
+def _png(p: DataFrame) -> DataFrame:
+    return files.encode(files.pack(p), "Png").select(F.col("image_id").cast("string").alias("path"), "content")
+
+
+query("thumbnail_files", _resize_sql("SELECT * FROM @", (64, 48), (32, 24), "triangle"), "photo")(lambda p: _opened(jobs.thumbnails_of(_png(p), 32)))
+query("blur_files", _blur_sql(_blur_sql("SELECT * FROM @", _W, "x", "y"), _W, "y", "x"), "photo")(lambda p: _opened(jobs.blurred_of(_png(p), 0.8)))
+
+
+def _mixed(p: DataFrame) -> DataFrame:
+    """Images of three widths."""
+    return p.withColumn("width", (64 - 8 * (F.col("image_id") % 3)).cast("int")).where("x < width")
+
+
+_NARROW = "SELECT * FROM @ WHERE image_id % 3 = {k} AND x < 64 - 8 * {k}"
+query("thumbnail_mixed", " UNION ALL ".join(_resize_sql(_NARROW.format(k=k), (64 - 8 * k, 48), neighbor.thumbnail_size(64 - 8 * k, 48, 24), "lanczos3") for k in range(3)), "photo")(lambda p: neighbor.thumbnail(_mixed(p), 24))
+query("fit_mixed", " UNION ALL ".join(f"SELECT image_id, x - {dx} AS x, y, r, g, b, a FROM ({_resize_sql(_NARROW.format(k=k), (64 - 8 * k, 48), size, 'lanczos3')}) WHERE x BETWEEN {dx} AND {dx} + 29" for k, size, dx in ((0, (40, 30), 5), (1, (35, 30), 2), (2, (30, 30), 0))), "photo")(lambda p: neighbor.fit(_mixed(p), 30, 30, "fill"))
+
+#: Camera, orientation, date and exposure as an Exif segment (big-endian).
+_TEXT = b"Make\0Model\0" + b"2024:05:06 07:08:09\0"
+
+
+def _exif() -> bytes:
+    entry = lambda tag, kind, count, value: struct.pack(">HHI", tag, kind, count) + value
+    texts = 8 + 2 + 12 * 5 + 4
+    inner = texts + len(_TEXT)
+    first = struct.pack(">H", 5) + entry(0x010F, 2, 5, struct.pack(">I", texts)) + entry(0x0110, 2, 6, struct.pack(">I", texts + 5)) + entry(0x0112, 3, 1, struct.pack(">HH", 6, 0)) + entry(0x0132, 2, 20, struct.pack(">I", texts + 11)) + entry(0x8769, 4, 1, struct.pack(">I", inner)) + b"\0\0\0\0"
+    second = struct.pack(">H", 1) + entry(0x829A, 5, 1, struct.pack(">I", inner + 18)) + b"\0\0\0\0" + struct.pack(">II", 1, 60)
+    body = b"Exif\0\0MM\0*" + struct.pack(">I", 8) + first + _TEXT + second
+    return b"\xff\xe1" + struct.pack(">H", len(body) + 2) + body
+
+
+def _with_exif(p: DataFrame) -> DataFrame:
+    jpegs = files.encode(files.pack(p), "Jpeg").select(F.col("image_id").cast("string").alias("path"), "content")
+    return jpegs.select("path", F.concat(F.substring("content", 1, 2), F.lit(_exif()), F.substring("content", 3, 1 << 30)).alias("content"))
+
+
+query("metadata_exif", "SELECT DISTINCT CAST(image_id AS VARCHAR) AS path, 64 AS width_px, 'Jpeg' AS format, 6 AS exif_orientation, '2024:05:06 07:08:09' AS exif_date_taken, 'Make Model' AS exif_camera, '1/60' AS exif_exposure FROM @", "photo")(lambda p: files.metadata(_with_exif(p)).select("path", F.col("width").alias("width_px"), "format", "exif_orientation", "exif_date_taken", "exif_camera", "exif_exposure"))
+
+
+def _icons(p: DataFrame) -> DataFrame:
+    """Each image and its corner as one icon, and its entries' pixels."""
+    corner = geometry.crop(p, 0, 0, 16, 16).withColumns({"width": F.lit(16), "height": F.lit(16)})
+    images = files.pack(p).unionByName(files.pack(corner)).withColumn("path", F.col("image_id").cast("string"))
+    entries = files.ico_entries(files.encode_ico(images)).withColumn("image_id", F.col("path").cast("bigint") * 10 + F.col("entry_no"))
+    return files.unpack(entries.where("error is null"))
+
+
+query("ico_entries", "SELECT image_id * 10 AS image_id, x, y, r, g, b, a FROM @ UNION ALL SELECT image_id * 10 + 1, x, y, r, g, b, a FROM @ WHERE x < 16 AND y < 16", "photo")(_icons)

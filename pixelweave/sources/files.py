@@ -162,6 +162,35 @@ def encode(images: DataFrame, name: str, quality: int = 75) -> DataFrame:
     return images.mapInPandas(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), "content binary"]))
 
 
+def ico_entries(contents: DataFrame) -> DataFrame:
+    """(path, content) of icons to a row for each entry, the largest first: path, entry_no, width, height, bpp, pixels; error where a
+    file can't be read."""
+    schema = "path string, entry_no int, width int, height int, bpp int, pixels binary, error struct<kind:string,message:string>"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = [c.split()[0] for c in schema.split(", ")[:6]] + ["error"]
+        for frame in frames:
+            for path, data in zip(frame["path"], frame["content"], strict=True):
+                try:
+                    rows = [(path, i, e.pixels.shape[1], e.pixels.shape[0], e.bpp, e.pixels.tobytes(), None) for i, e in enumerate(ico.decode_all(bytes(data or b"")))]
+                except CodecError as error:
+                    rows = [(path, None, None, None, None, None, {"kind": error.kind, "message": str(error)})]
+                yield pd.DataFrame(rows, columns=columns).astype({c: "Int32" for c in columns[1:5]})
+
+    return contents.select("path", "content").mapInPandas(run, schema)
+
+
+def encode_ico(images: DataFrame) -> DataFrame:
+    """Images with a path to one icon for each path, of all its images, the largest first (at most 256 pixels a side): path, content."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        own = [np.frombuffer(raw, np.uint8).reshape(int(h), int(w), 4) for w, h, raw in zip(frame["width"], frame["height"], frame["pixels"], strict=True)]
+        own.sort(key=lambda p: (-p.shape[0] * p.shape[1], p.tobytes()))
+        return pd.DataFrame({"path": [frame["path"].iloc[0]], "content": [ico.encode_images(own)]})
+
+    return images.select("path", "width", "height", "pixels").groupBy("path").applyInPandas(run, "path string, content binary")
+
+
 def save(images: DataFrame, path: str, name: str, quality: int = 75) -> None:
     """Encoded images as a Parquet table of (columns, content): a sink that retries and lost executors can't tear."""
     encode(images, name, quality).write.mode("overwrite").parquet(path)
