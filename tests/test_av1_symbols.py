@@ -137,6 +137,6 @@ def test_colours():
     cb, cr = (u - 127.5) / 127.5, (v - 127.5) / 127.5
     red, blue = y / 255 + 2 * 0.701 * cr, y / 255 + 2 * 0.886 * cb
     green = (y / 255 - 0.299 * red - 0.114 * blue) / 0.587
-    assert got[1, 2].tolist() == [round(min(1, red) * 255), round(green * 255), round(blue * 255), 255]
+    assert got[1, 2].tolist() == [round(min(1, max(0, c)) * 255) for c in (red, green, blue)] + [255]
     assert av1.planes_to_rgba([grey, grey, grey], 8, 6, True, (2, True)).tolist() == av1.planes_to_rgba([grey, grey, grey], 8, 6, True).tolist()
     assert av1.apply_alpha(np.array([[[200, 10, 0, 255]]], np.uint8), np.array([[128]], np.uint8)).tolist() == [[[100, 5, 0, 128]]]
