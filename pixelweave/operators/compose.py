@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import fonts
 from ..functions.expr import RGB, RGBA, channel, f32, luma, rounded
 
 MODES = ("normal", "multiply", "screen", "overlay", "add")
@@ -71,3 +73,29 @@ def watermark_bar(pixels: DataFrame, text: str, x: int, y: int, size: float, col
     alpha = alpha.cast("float")
     inside = F.col("x").between(x, x + w - 1) & F.col("y").between(y, y + h - 1)
     return pixels.withColumns({c: F.when(inside, rounded(channel(c) * (f32(1) - alpha) + f32(v) * alpha)).otherwise(F.col(c)) for c, v in zip(RGB, color[:3], strict=True)})
+
+
+def watermark_text(pixels: DataFrame, text: str, x: int, y: int, size: float, color: tuple[int, int, int, int], family: str = fonts.STAND_IN, folders: Iterable[str] = fonts.FOLDERS) -> DataFrame:
+    """A text by a font of that family (or the one that stands in), else the bar. The text's pixels, a few thousand rows however many
+    images there are, are broadcast. Glyphs are blended one after the other, rounded after each."""
+    if not text:
+        raise ValueError("the text is empty")
+    if (font := fonts.find(family, folders)) is None:
+        return watermark_bar(pixels, text, x, y, size, color)
+    shares: dict[tuple[int, int], list[float]] = {}
+    for _, px, py, share in fonts.text_coverage(font, text, x, y, max(6.0, size)):
+        if px >= 0 and py >= 0:
+            shares.setdefault((px, py), []).append(share)
+    mask = pixels.sparkSession.createDataFrame([(px, py, own) for (px, py), own in shares.items()], "x int, y int, shares array<float>")
+    one, full = f32(1), f32(255)
+
+    def glyph(under: Column, share: Column) -> Column:
+        alpha = (share * f32(color[3]) / full).cast("float")
+        top = [rounded(channel_of(under[c]) * (one - alpha) + f32(v) * alpha).alias(c) for c, v in zip(RGB, color[:3], strict=True)]
+        old = (channel_of(under["a"]) / full).cast("float")
+        return F.struct(*top, rounded((old + alpha * (one - old)) * full).alias("a"))
+
+    channel_of = lambda c: c.cast("float")
+    start = F.struct(*(F.col(c).cast("int").alias(c) for c in RGBA))
+    joined = pixels.join(F.broadcast(mask), ["x", "y"], "left").withColumn("shares", F.aggregate(F.coalesce("shares", F.array().cast("array<float>")), start, glyph))
+    return joined.select(*(F.col("shares")[c].alias(c) if c in RGBA else F.col(c) for c in pixels.columns))
