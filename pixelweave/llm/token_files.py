@@ -62,6 +62,14 @@ class Words(dict):
         return ids
 
 
+def _latin(word: str) -> bool:
+    try:
+        word.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Encoder:
     """Ids of whole texts, word by word. A word of Latin letters and punctuation after them is made from its two parts; a
     run of lower-case letters goes to the vocabulary's model at once; any other word takes the tokenizer's whole way. The
@@ -79,7 +87,7 @@ class Encoder:
         self.marked = {t[0] for t in special}  # case and neighbours matter in special tokens
         self.ends = "".join(c for c in string.punctuation if c not in self.marked)
         probe = ["abcdefghij", "élève", "straße", "ñandú", "x"]
-        self.short = all(self.letters(w) == self.whole(w) == self.whole(w[0].upper() + w[1:]) for w in probe) and all(self.whole(f"{w}{c}") == self.whole(w) + self.whole(c) for w in probe for c in (*self.ends, ".)", "!!!", "%%%"))
+        self.short = not any(c.isalpha() for c in self.marked) and all(self.letters(w) == self.whole(w) == self.whole(w[0].upper() + w[1:]) for w in probe) and all(self.whole(f"{w}{c}") == self.whole(w) + self.whole(c) for w in probe for c in (*self.ends, ".)", "!!!", "%%%"))
         self.words = Words(self.make, {})
 
     def whole(self, word: str) -> bytes:
@@ -91,17 +99,16 @@ class Encoder:
         return array("i", [t.id for t in self.model.tokenize(named)]).tobytes()
 
     def make(self, word: str, words: Words) -> bytes:
-        if self.short and self.marked.isdisjoint(word):
-            try:
-                word.isascii() or word.encode("latin-1")  # in which lower-casing is a matter of single letters
-            except UnicodeEncodeError:
-                return self.whole(word)
-            low = word.lower()
-            stem = low.rstrip(self.ends)
-            if stem.isalpha():
-                if stem == word:
-                    return self.letters(stem)
-                return words[stem] + words[low[len(stem) :]]
+        if self.short:
+            if word.isalpha():
+                low = word.lower()
+                if word.isascii() or _latin(word):  # in which lower-casing is a matter of single letters
+                    return self.letters(low) if low == word else words[low]
+            elif self.marked.isdisjoint(word) and (word.isascii() or _latin(word)):
+                low = word.lower()
+                stem = low.rstrip(self.ends)
+                if stem.isalpha():
+                    return words[stem] + words[low[len(stem) :]]
         return self.whole(word)
 
     @classmethod
