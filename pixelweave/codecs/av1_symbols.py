@@ -1,13 +1,11 @@
 """AV1's arithmetic-coded symbols, their adaptive distributions, and the colours of decoded planes.
 
 The default distributions of the standard are some thousands of numbers; they are no part of this package but a parameter: the text
-of the standard's listings (``Default_..._Cdf[ 4 ][ 14 ] = { ... }``), of which ``listing`` makes arrays.
+of the standard's listings (``Default_..._Cdf[ 4 ][ 14 ] = { ... }``), as ``listing.listing`` reads them.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 
 from . import CodecError, damaged
@@ -90,26 +88,6 @@ class Symbols:
             raise damaged("a tile doesn't end in a one and zeros")
 
 
-def listing(text: str) -> dict[str, np.ndarray]:
-    """Arrays by name from listings in C's notation: name, [ sizes ], = { numbers }. Sizes may be left out or be names."""
-    out = {}
-    for name, body in re.findall(r"(\w+)\s*(?:\[[^\]]*\]\s*)+=\s*(\{[^;]*?\})\s*(?:;|(?=\n\s*(?:\w+\s+)*\w+\s*\[)|\Z)", re.sub(r"/\*.*?\*/|//[^\n]*", "", text, flags=re.S)):
-        stack: list[list] = [[]]
-        for token in re.findall(r"[{}]|-?\d+", body):
-            if token == "{":
-                stack.append([])
-            elif token == "}":
-                done = stack.pop()
-                stack[-1].append(done)
-            else:
-                stack[-1].append(int(token))
-        try:
-            out[name] = np.array(stack[0][0], np.int32)
-        except (ValueError, IndexError):
-            raise CodecError("invalid_input", f"the listing of {name} isn't regular") from None
-    return out
-
-
 class Distributions:
     """A tile's own copy of the distributions, by the standard's names. Those of coefficients (which have a first axis of the quantizer
     sets) are taken for a quantizer index."""

@@ -1,5 +1,5 @@
-"""WebP containers: stills and the first frame of animations, with lossless streams; lossy ones raise unsupported. Written are
-lossless literals."""
+"""WebP containers: stills and the first frame of animations, with lossless or lossy streams and alpha planes. Lossy streams need the
+format's tables (``vp8.Tables``). Written are lossless literals."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import struct
 
 import numpy as np
 
-from . import CodecError, check_size, damaged, need, to_rgba, unsupported, vp8l
+from . import CodecError, check_size, damaged, need, to_rgba, unsupported, vp8, vp8l
 
 SIDE = vp8l.SIDE
 
@@ -40,30 +40,73 @@ def dimensions(data: bytes) -> tuple[int, int]:
     raise damaged("no image")
 
 
-def decode(data: bytes) -> np.ndarray:
+def decode(data: bytes, tables: vp8.Tables | None = None) -> np.ndarray:
     width, height = dimensions(data)
     check_size(width, height, SIDE)
-    wide = False
+    wide, alpha = False, None
     for kind, body in chunks(data):
         if kind == b"VP8X":
             wide = True
+        elif kind == b"ALPH":
+            alpha = body
         elif kind == b"VP8L":
             return _place(vp8l.decode(body), 0, 0, width, height) if wide else vp8l.decode(body)
+        elif kind == b"VP8 ":
+            return _lossy(body, alpha if wide else None, tables)
         elif kind == b"ANMF" and wide:
             x, y = (2 * int.from_bytes(need(body, at, 3), "little") for at in (0, 3))
             for inner, frame in chunks(body, 16):
-                if inner == b"VP8L":
+                if inner == b"ALPH":
+                    alpha = frame
+                elif inner == b"VP8L":
                     return _place(vp8l.decode(frame), x, y, width, height)
-                if inner == b"VP8 ":
-                    break
-            else:
-                raise damaged("a frame without an image")
-            raise unsupported("lossy WebP isn't decoded")
-        elif kind == b"VP8 ":
-            raise unsupported("lossy WebP isn't decoded")
+                elif inner == b"VP8 ":
+                    return _place(_lossy(frame, alpha, tables), x, y, width, height)
+            raise damaged("a frame without an image")
     raise damaged("no image")
 
 
+def _lossy(body: bytes, alpha: bytes | None, tables: vp8.Tables | None) -> np.ndarray:
+    if tables is None:
+        raise unsupported("lossy WebP needs the listings of the format's probabilities")
+    check_size(*vp8.dimensions(body), SIDE)
+    out = vp8.decode(body, tables)
+    if alpha is not None:
+        out[..., 3] = alpha_plane(alpha, out.shape[1], out.shape[0])
+    return out
+
+
+def alpha_plane(body: bytes, width: int, height: int) -> np.ndarray:
+    """An ALPH chunk's plane: stored as it is or as the green of a lossless stream, each value less the one predicted from its
+    neighbours (not at all, the left one, the upper one, or left + upper - upper left)."""
+    head = need(body, 0, 1)[0]
+    if head & 3 == 0:
+        rest = np.frombuffer(need(body, 1, width * height), np.uint8).reshape(height, width).astype(np.int64)
+    elif head & 3 == 1:  # a lossless stream without its head
+        begin = (0x2F | (width - 1) << 8 | (height - 1) << 22).to_bytes(5, "little")
+        rest = vp8l.decode(begin + body[1:])[..., 1].astype(np.int64)
+    else:
+        raise unsupported("an unknown compression of alpha")
+    method = head >> 2 & 3
+    if method == 0:
+        return rest.astype(np.uint8)
+    # the first row goes on from the left, the first column from above
+    rest[0] = np.cumsum(rest[0])
+    if method == 2:
+        rest = np.cumsum(rest, axis=0)
+    else:
+        rest[:, 0] = np.cumsum(rest[:, 0])
+    if method == 1:
+        rest[1:] = np.cumsum(rest[1:], axis=1)
+    rest &= 255
+    if method == 3:
+        for d in range(2, width + height - 1):  # a diagonal's values need the ones before
+            y = np.arange(max(1, d - width + 1), min(height - 1, d - 1) + 1)
+            x = d - y
+            rest[y, x] = rest[y, x] + np.clip(rest[y, x - 1] + rest[y - 1, x] - rest[y - 1, x - 1], 0, 255) & 255
+    return rest.astype(np.uint8)
+
+
 def _place(pixels: np.ndarray, x: int, y: int, width: int, height: int) -> np.ndarray:
     """Pixels on a transparent canvas; what lies outside is cut. Fully transparent pixels leave the canvas alone."""
     if pixels.shape[:2] == (height, width) and not x and not y:

@@ -21,7 +21,7 @@ def transform(contents: DataFrame, change: Callable[[np.ndarray], np.ndarray], n
         columns = [c.split()[0] for c in ENCODED.split(", ")]
         for frame in frames:
             for path, data in zip(frame["path"], frame["content"], strict=True):  # one image at a time in memory
-                row = files.decode_one(path, bytes(data or b""), None)
+                row = files.decode_one(path, bytes(data or b""))
                 out = {"path": path, "width": None, "height": None, "content": None, "error": row["error"]}
                 if row["error"] is None:
                     pixels = change(np.frombuffer(row["pixels"], np.uint8).reshape(row["height"], row["width"], 4))

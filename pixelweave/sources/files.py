@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..codecs import CodecError, avif, bmp, gif, ico, jpeg, png, webp
+from ..codecs import CodecError, avif, bmp, gif, ico, jpeg, png, vp8, webp
 
 FORMATS = {"Png": png, "Jpeg": jpeg, "Gif": gif, "Bmp": bmp, "Ico": ico, "WebP": webp, "Avif": avif}
 #: File name endings by format.
@@ -75,12 +75,12 @@ def av1_tiles(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, f"path string, {TILES}, error struct<kind:string,message:string>")
 
 
-def decode_one(path, data: bytes, forced: str | None) -> dict:
+def decode_one(path, data: bytes, forced: str | None = None, tables: vp8.Tables | None = None) -> dict:
     out = {"path": path, "width": None, "height": None, "format": None, "color_type": None, "pixels": None, "error": None}
     try:
         if (name := forced or sniff(data)) is None:
             raise CodecError("unsupported", "unknown image format")
-        pixels = FORMATS[name].decode(data)
+        pixels = webp.decode(data, tables) if name == "WebP" else FORMATS[name].decode(data)
         return out | {"height": pixels.shape[0], "width": pixels.shape[1], "format": name, "color_type": "RGBA8", "pixels": pixels.tobytes()}
     except CodecError as error:
         return out | {"error": {"kind": error.kind, "message": str(error)}}
@@ -88,15 +88,17 @@ def decode_one(path, data: bytes, forced: str | None) -> dict:
         return out | {"error": {"kind": "decode", "message": f"{type(error).__name__}: {error}"}}
 
 
-def decode(files: DataFrame, forced: str | None = None, strict: bool = False) -> DataFrame:
-    """(path, content) to images. strict: the first bad file fails the query."""
+def decode(files: DataFrame, forced: str | None = None, strict: bool = False, vp8_listings: str | None = None) -> DataFrame:
+    """(path, content) to images. strict: the first bad file fails the query. vp8_listings: the text of the listings that lossy WebP
+    needs (``codecs.vp8``); without them such files have an error."""
+    tables = vp8.Tables.read(vp8_listings) if vp8_listings is not None else None
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in IMAGES.split(", ")[:6]] + ["error"]
         for frame in frames:
             rows, held = [], 0
             for path, data in zip(frame["path"], frame["content"], strict=True):
-                row = decode_one(path, bytes(data or b""), forced)
+                row = decode_one(path, bytes(data or b""), forced, tables)
                 if strict and row["error"]:
                     raise ValueError(f"{path}: {row['error']['message']}")
                 rows.append(row)
@@ -110,9 +112,9 @@ def decode(files: DataFrame, forced: str | None = None, strict: bool = False) ->
     return files.select("path", "content").mapInPandas(run, IMAGES)
 
 
-def load(spark: SparkSession, path: str, forced: str | None = None) -> DataFrame:
+def load(spark: SparkSession, path: str, forced: str | None = None, vp8_listings: str | None = None) -> DataFrame:
     """Decoded files; the format column follows the ending (unknown: Png), sniffed_format the bytes."""
-    images = decode(scan(spark, path), forced)
+    images = decode(scan(spark, path), forced, vp8_listings=vp8_listings)
     return images.withColumn("sniffed_format", F.col("format")).withColumn("format", F.coalesce(from_extension(F.col("path")), F.lit("Png")))
 
 

@@ -7,6 +7,7 @@ import pytest
 
 from pixelweave.codecs import CodecError
 from pixelweave.codecs import av1_symbols as av1
+from pixelweave.codecs.listing import listing
 
 
 def adapted(cdf, symbol):
@@ -111,7 +112,7 @@ Default_Dc_Sign_Cdf[ 4 ][ 2 ][ 3 ] = { { {1000, 32768, 0}, {1, 32768, 0} }, {{20
 
 
 def test_distributions():
-    tables = av1.listing(LISTING)
+    tables = listing(LISTING)
     assert {k: v.shape for k, v in tables.items()} == {"Default_Skip_Cdf": (2, 3), "Default_Dc_Sign_Cdf": (4, 2, 3)}
     for quantizer, share in ((0, 1000), (20, 1000), (21, 2000), (60, 2000), (61, 3000), (120, 3000), (121, 4000), (255, 4000)):
         assert av1.Distributions(tables, quantizer)["Default_Dc_Sign_Cdf", 0].tolist() == [share, 32768, 0]
@@ -123,7 +124,7 @@ def test_distributions():
     with pytest.raises(CodecError):
         av1.Distributions({"x": np.array([[5, 3, 0]])})
     with pytest.raises(CodecError):
-        av1.listing("a[2][2] = { {1, 2}, {3} }")
+        listing("a[2][2] = { {1, 2}, {3} }")
 
 
 def test_colours():
