@@ -19,11 +19,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import HOT_KEYS, join_hot, materialize
 
 #: Rows and bytes of a bucket at most, on average.
 BUCKET_ROWS, BUCKET_BYTES = 20_000, 8 << 20
 SEED = 42
+#: Identical rows that a task makes of one.
+COPIES = 1000
 
 
 def rendezvous(key, shards: int, seed: int = SEED):
@@ -46,12 +48,20 @@ def _row_bytes(rows: DataFrame):
 
 
 def _numbered_copies(keyed: DataFrame) -> DataFrame:
-    """The rows, with h of identical ones made different by their numbers."""
-    repeated = materialize(keyed.groupBy("h", "h2").agg(F.count("*").alias("n")).where("n > 1"), "repeated-rows")
-    if repeated.isEmpty():
+    """The rows, with h of identical ones made different by their numbers. One of each group is kept and made as many again, a chunk of
+    COPIES in a task, so that no task gets more of a group."""
+    same = ["h", "h2"]
+    repeated = materialize(keyed.groupBy(*same).agg(F.count("*").alias("n")).where("n > 1"), "repeated-rows")
+    total = repeated.agg(F.sum("n").alias("n")).first().n
+    if not total:
         return keyed
-    copies = keyed.join(repeated, ["h", "h2"]).dropDuplicates(["h", "h2"]).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "n")))
-    return keyed.join(repeated, ["h", "h2"], "left_anti").unionByName(copies.withColumn("h", F.xxhash64("h", "copy")).select(keyed.columns))
+    first = join_hot(keyed, repeated.withColumn("copies", F.col("n")), same, total).dropDuplicates(same)
+    chunks = first.withColumn("chunk", F.explode(F.expr(f"sequence(0L, (copies - 1) div {COPIES})"))).repartition(*same, "chunk")
+    copies = chunks.withColumn("copy", F.explode(F.expr(f"sequence(chunk * {COPIES} + 1, least(copies, (chunk + 1) * {COPIES}))")))
+    # rows of large groups go without a shuffle
+    large = repeated.where(F.col("n") > max(1000, total // HOT_KEYS)).select(same)
+    single = keyed.join(F.broadcast(large), same, "left_anti").join(repeated.select(same), same, "left_anti")
+    return single.unionByName(copies.withColumn("h", F.xxhash64("h", "copy")).select(keyed.columns))
 
 
 def scatter(rows: DataFrame, *, id_col: str = "doc_id", shards: int = 24, seed: int = SEED, bucket_rows: int = BUCKET_ROWS, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, list[int]]:

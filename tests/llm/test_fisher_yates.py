@@ -51,3 +51,17 @@ def test_shuffle_by_hand(spark, options):
     law = docs.select("doc_id", sharding.rendezvous(F.col("doc_id").cast("string"), options["shards"], seed).alias("shard")).distinct().collect()
     shard = {r.doc_id: r.shard for r in law}
     assert all(r.shard == shard[r.doc_id] and r.grown_shard in (r.shard, options["shards"]) for r in got)
+
+
+def test_large_groups_of_identical_rows(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "COPIES", 7)
+    rows = [(i, f"text {i % 50}", "en", "s", 8) for i in range(100)] + [(7, "the same", "en", "s", 8)] * 1500 + [(8, "some", "en", "s", 8)] * 20
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = sharding.shuffle_shards(docs, shards=2, bucket_rows=200).collect()
+    assert sorted(tuple(r)[:5] for r in got) == sorted(rows)
+    for s in (0, 1):
+        slots = sorted(r.slot for r in got if r.shard == s)
+        assert slots == list(range(len(slots)))
+    scattered, buckets = sharding.scatter(docs, shards=2, bucket_rows=200)
+    assert scattered.count() == scattered.select("h").distinct().count() == len(rows)
+    assert max(r["count"] for r in scattered.groupBy("bucket").count().collect()) < 280 and sum(buckets) >= 9
