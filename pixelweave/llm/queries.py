@@ -32,7 +32,7 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "item_id", "start", "n_words", "distance", "similarity")
+    return found.select("doc_id", "item_id", "start", "n_words", "similarity")
 
 
 def _digits(text, digits: int = 6):
@@ -92,6 +92,21 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_
 FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
 """
 
+#: Operator 5 without fingerprints: every window that may match, against every item of its size.
+SQL["op5_decontaminate"] = r"""
+WITH w AS (SELECT DISTINCT doc_id, text, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM documents),
+v AS (SELECT DISTINCT item_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS v FROM benchmark),
+i AS (SELECT item_id, least(len(v), 5) AS k, list_transform(range(1, len(v) - least(len(v), 5) + 2), lambda x: array_to_string(v[x:x + least(len(v), 5) - 1], ' ')) AS item FROM v WHERE len(v) > 0),
+d AS (SELECT doc_id, text, k, list_transform(range(1, len(w) - k + 2), lambda x: array_to_string(w[x:x + k - 1], ' ')) AS own FROM w, (SELECT DISTINCT k FROM i) WHERE len(w) >= k),
+p AS (SELECT doc_id, text, k, own, unnest(range(1, len(own) + 1)) AS place, unnest(own) AS shingle FROM d),
+f AS (SELECT DISTINCT k, len(item) AS n, unnest(item) AS shingle FROM i),
+s AS (SELECT DISTINCT doc_id, text, k, own, n, least(place, len(own) - least(n, len(own)) + 1) AS start FROM p JOIN f USING (k, shingle)),
+c AS (SELECT doc_id, text, item_id, start - 1 AS start, n + k - 1 AS n_words, own[start:start + least(n, len(own)) - 1] AS a, item AS b FROM s JOIN (SELECT *, len(item) AS n FROM i) USING (k, n)),
+m AS (SELECT *, list_sum(list_transform(list_distinct(a), lambda x: least(len(list_filter(a, lambda y: y = x)), len(list_filter(b, lambda y: y = x))))) AS shared FROM c WHERE len(list_intersect(a, b)) > 0),
+r AS (SELECT doc_id, text, item_id, start, n_words, shared::DOUBLE / (len(a) + len(b) - shared)::DOUBLE AS similarity FROM m)
+SELECT doc_id, item_id, CAST(start AS INT) AS start, CAST(n_words AS INT) AS n_words, similarity FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, text, item_id ORDER BY similarity DESC, start, n_words DESC) AS rank FROM r WHERE similarity >= 0.8 - 1e-12) WHERE rank = 1
+"""
+
 _HEX = "CAST('0x' || substr(md5({}), 1, 6) AS BIGINT)"
 SQL["op6_url_filter"] = rf"""
 WITH c AS (SELECT page_id, url, DATE '2024-01-01' + CAST({_HEX.format("url")} % 360 AS INT) AS fetched,
