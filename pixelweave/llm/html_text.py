@@ -51,6 +51,7 @@ TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]++)?+)?+)*+)>",
     re.S,
 )
+OVER = re.compile(r"^<!---?>|--!?>$")
 NAMED = re.compile(r"(?<![^\s/\"'])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 CLOSER = re.compile(r"</([a-zA-Z][^\s/>]*+)")
 PARTS = re.compile(r"[-_]+")
@@ -111,6 +112,8 @@ class Page:
                 self._add(page[at : m.start()])
             pos = at = m.end()
             if m[2] is None:  # comment, declaration
+                if pos == for_end + 1 and m[0].startswith("<!--") and not OVER.search(m[0]):  # the search ended, not the comment
+                    pos = at = len(page)
                 continue
             close, name = bool(m[1]), m[2].lower()
             if close:

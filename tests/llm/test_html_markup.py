@@ -27,6 +27,8 @@ WEIGHT = {"p": -0.02, "div": -2.0, "a": -0.1, "li": -4.0}
         (f"<article>{BODY}<span class=ad>gone</span> and <b>bold</i></b></article>", WORDS + " and bold"),
         ("<p>a < b and 3 <4 &amp; c</p>", "a < b and 3 <4 & c"),
         ("<p>text <!-- no <p>words</p> --> on<!--> and on<!-- open", "text on and on"),
+        ("<p>text <!-- open <b>bold</b> and more", "text"),
+        ("<p>text <!--x--!> on <!---> and <b>on</b>", "text on and on"),
         ("<p>one</p><textarea>no</textarea x><p>two <b", "one two <b"),
         ("<p title='a>b' data-x = \"c>d\">quoted</p>", "quoted"),
         ("<p>x x x</p></div></p></nav>y y y", "x x x y y y"),
