@@ -130,6 +130,11 @@ def upper_bound(k: int, n: int, delta: float) -> float:
     return hi
 
 
+def selects(key):
+    """Column: whether a labelled document orders the cutoffs, by the md5 of its id."""
+    return F.conv(F.substring(F.md5(key.cast("string").cast("binary")), 1, 6), 16, 10).cast("bigint") % SELECT == 0
+
+
 def least_holdouts(max_false_rejection: float, level: float) -> int:
     """Good holdouts that bound the false rejections when none is seen."""
     return math.ceil(math.log(level) / math.log1p(-max_false_rejection))
@@ -191,7 +196,7 @@ def fit(counts: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", stratum
     held = labels.select(F.col(id_col).alias("id"), (F.col(good) == 1).alias("good")).where("id is not null and good is not null").groupBy("id").agg(F.min("good").alias("good"), F.max("good").alias("also")).where("good = also").drop("also")
     bins = [F.least(F.ceil(v * GRID) - 1, F.lit(GRID - 1)).cast("int").alias(k) for k, v in ratios().items()]
     rows = counts.where(~base_failed()).select(F.col(id_col).alias("id"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), *bins).join(held, "id")
-    rows = materialize(rows.withColumn("selects", F.pmod(F.xxhash64("id", F.lit("selects")), F.lit(SELECT)) == 0), "quality-holdouts")
+    rows = materialize(rows.withColumn("selects", selects(F.col("id"))), "quality-holdouts")
     goods, bads = F.count_if("good").alias("goods"), F.count_if(~F.col("good")).alias("bads")
     each = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.col(r).alias("bin")) for r in RULES))).alias("x")
     hists: dict[str, dict[int, tuple[int, int]]] = {r: {} for r in RULES}

@@ -126,6 +126,47 @@ SELECT c.page_id, c.url, c.fetched, hit.listed_by IS NOT NULL AS listed, hit.lis
 """
 
 
+def _quality_sql() -> str:
+    """Operator 10: the counts, the hull of each rule's rejections, and the sequence of exact binomial tests."""
+    grid, risk, delta = quality.GRID, 0.05, 0.05
+    pairs = (("n_symbols", "word_chars"), ("n_dup_lines", "n_lines"), ("n_repeat_words", "n_words"), ("n_upper", "word_chars"), ("n_marks", "word_chars"))
+    ratios = " UNION ALL ".join(f"SELECT r, doc_id, stratum, base_failed, {i} AS rule, CASE WHEN {b} = 0 THEN 0 ELSE {a}::DOUBLE / {b}::DOUBLE END AS ratio FROM m" for i, (a, b) in enumerate(pairs))
+    needed = lambda level: f"CAST(ceil(ln({level}) / ln(1 - {risk})) AS BIGINT)"
+    parts = [
+        "d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t FROM documents)",
+        r"w AS (SELECT r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d)",
+        "win AS (SELECT r, k, w[k] || ' ' || w[k + 1] || ' ' || w[k + 2] AS s FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS k FROM w))",
+        "rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([k, k + 1, k + 2]) AS p FROM (SELECT r, k, count(*) OVER (PARTITION BY r, s) AS n FROM win) WHERE n > 1) GROUP BY r)",
+        "c AS (SELECT d.*, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, len(list_filter(string_split(t, ''), lambda x: lower(x) <> x)) AS n_upper, len(lines) AS n_lines, length(t) - length(replace(t, '!', '')) AS n_marks FROM d JOIN w USING (r) LEFT JOIN rep USING (r))",
+        "m AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c)",
+        f"ratios AS ({ratios})",
+        "lab AS (SELECT doc_id, bool_and(quality = 1) AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id HAVING bool_and(quality = 1) = bool_or(quality = 1))",
+        f"held AS (SELECT *, CAST(least(ceil(ratio * {grid}) - 1, {grid - 1}) AS INT) AS bin, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 6) AS BIGINT) % {quality.SELECT} = 0 AS selects FROM ratios JOIN lab USING (doc_id) WHERE NOT base_failed)",
+        "total AS (SELECT rule, count(*) FILTER (WHERE good) AS goods, count(*) FILTER (WHERE NOT good) AS bads FROM held WHERE selects GROUP BY rule)",
+        f"curve AS (SELECT g.rule, k, count(*) FILTER (WHERE bin >= k AND good) AS f, count(*) FILTER (WHERE bin >= k AND NOT good) AS t FROM (SELECT rule, unnest(range(1, {grid + 1})) AS k FROM total) g JOIN held ON held.rule = g.rule AND selects GROUP BY g.rule, k)",
+        "pts AS (SELECT rule, f, t, max(k) AS top, min(k) AS low FROM curve GROUP BY rule, f, t)",
+        "best AS (SELECT * FROM pts p WHERE NOT EXISTS (SELECT 1 FROM pts q WHERE q.rule = p.rule AND q.f <= p.f AND q.t >= p.t AND (q.f < p.f OR q.t > p.t)))",
+        "start AS (SELECT * FROM best UNION SELECT rule, 0, 0, 0, 0 FROM total WHERE rule NOT IN (SELECT rule FROM best WHERE f = 0))",
+        "hull AS (SELECT * FROM start p WHERE NOT EXISTS (SELECT 1 FROM start l, start r WHERE l.rule = p.rule AND r.rule = p.rule AND l.f < p.f AND r.f > p.f AND (p.t - l.t) * (r.f - p.f) <= (r.t - p.t) * (p.f - l.f)))",
+        "step AS (SELECT *, lag(f, 1, 0) OVER (PARTITION BY rule ORDER BY f) AS pf, lag(t, 1, 0) OVER (PARTITION BY rule ORDER BY f) AS pt FROM hull)",
+        "gain AS (SELECT rule, (top + low + 1) // 2 AS cut, CASE WHEN f = pf THEN 'infinity'::DOUBLE ELSE (t - pt)::DOUBLE / bads * goods / (f - pf) END AS gain FROM step JOIN total USING (rule) WHERE t > pt AND goods > 0 AND bads > 0)",
+        f"path AS (SELECT rule, cut, row_number() OVER (ORDER BY gain DESC, rule, cut DESC) AS step FROM gain WHERE gain >= {quality.GAIN})",
+        "rows AS (SELECT r, stratum, good, min(step) AS step FROM (SELECT DISTINCT r, stratum, good FROM held WHERE NOT selects) LEFT JOIN (SELECT r, step FROM held JOIN path ON path.rule = held.rule AND bin >= cut) USING (r) GROUP BY ALL)",
+        "sizes AS (SELECT stratum, count(*) FILTER (WHERE good) AS goods FROM rows GROUP BY stratum)",
+        f"need(n, own, i) AS (SELECT {needed(delta)}, (SELECT count(*) FROM sizes WHERE goods >= {needed(delta)}), 0 UNION ALL SELECT n2, (SELECT count(*) FROM sizes WHERE goods >= n2), i + 1 FROM (SELECT n, i, {needed(f'{delta} / (own + 1)')} AS n2 FROM need) WHERE n < n2 AND i < 19)",
+        f"final AS (SELECT n, {delta} / (own + 1) AS level FROM need ORDER BY i DESC LIMIT 1)",
+        "grouped AS (SELECT rows.*, CASE WHEN goods >= n THEN stratum ELSE '\0' END AS grp FROM rows JOIN sizes USING (stratum), final)",
+        "counted AS (SELECT grp, path.step, count(*) FILTER (WHERE good) AS n, count(*) FILTER (WHERE good AND grouped.step <= path.step) AS wrong FROM grouped, path GROUP BY ALL)",
+        f"tested AS (SELECT grp, step, list_sum(list_transform(range(0, wrong + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({risk}) + (n - i) * ln(1 - {risk})))) > level AS fails FROM (SELECT counted.*, level FROM counted, final))",
+        "safe AS (SELECT grp, path.rule, min(cut) AS cut FROM tested JOIN path USING (step) WHERE step < coalesce((SELECT min(x.step) FROM tested x WHERE x.grp = tested.grp AND fails), 1 << 30) GROUP BY ALL)",
+        f"gone AS (SELECT DISTINCT r FROM (SELECT ratios.*, CASE WHEN goods >= n THEN ratios.stratum ELSE '\0' END AS grp FROM ratios LEFT JOIN sizes USING (stratum), final) x JOIN safe ON safe.grp = x.grp AND safe.rule = x.rule WHERE ratio > cut::DOUBLE / {grid})",
+    ]
+    return "WITH RECURSIVE " + ",\n".join(parts) + "\nSELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND r NOT IN (SELECT r FROM gone) AS kept FROM m"
+
+
+SQL["op10_quality_rules"] = _quality_sql()
+
+
 def _mix_sql() -> str:
     """Operator 7 without buckets: one ordered sum per leaf."""
     weight = "CASE concat_ws('/', {}) " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in MIX_WEIGHTS.items()) + " ELSE 1::DOUBLE END"
