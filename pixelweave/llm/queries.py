@@ -80,6 +80,54 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_substring_dedup, op3_tokens, op4_sharding, op5_decontaminate, op6_url_filter, op7_mixing, op8_toxicity, op9_html_text, op10_quality_rules)}
 SQL: dict[str, str] = {}
 
+
+def _simhash_sql() -> str:
+    """Operator 1: XXH64 by its rules in 128-bit numbers, majority bits, all pairs of fingerprints, and their closure."""
+    # fixed values of XXH64
+    p1, p2, p3, p4, p5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
+    top, seed = 1 << 64, 42
+    u = lambda v: f"{v}::UHUGEINT"
+    mod = lambda e: f"(({e}) % {u(top)})"
+    mul = lambda e, p: mod(f"{e} * {u(p)}")
+    turn = lambda e, r: f"(({e}) % {u(1 << 64 - r)} * {u(1 << r)} + ({e}) // {u(1 << 64 - r)})"
+    number = lambda text, n: f"CAST(CAST('0x' || " + " || ".join(f"substr({text}, {2 * k + 1}, 2)" for k in reversed(range(n))) + " AS UBIGINT) AS UHUGEINT)"
+    fold = lambda e, k, r, p, q: mod(f"{turn(f'xor({e}, {k})', r)} * {u(p)} + {u(q)}")
+    upper = "".join(map(chr, range(65, 91)))
+    rounds = lambda j, start: f"list_reduce([{u(start % top)}] || list_transform(range({j}, n // 32 * 4 + {j}, 4), lambda i: lanes[i]), lambda v, x: {mul(turn(mod(f'v + x * {u(p2)} % {u(top)}'), 31), p1)})"
+    parts = [
+        rf"w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\x20\x09-\x0D]+') AS w FROM documents)",
+        "g AS (SELECT doc_id, unnest(CASE WHEN len(w) > 4 THEN list_transform(range(1, len(w) - 2), lambda x: array_to_string(w[x:x + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w)",
+        "b AS (SELECT s, hex(encode(s)) AS x, strlen(s) AS n FROM (SELECT DISTINCT s FROM g))",
+        f"l AS (SELECT s, x, n, list_transform(range(0, n // 8), lambda i: {number('substr(x, 16 * i + 1, 16)', 8)}) AS lanes FROM b)",
+        f"v AS (SELECT *, {', '.join(f'{rounds(j + 1, a)} AS v{j}' for j, a in enumerate((seed + p1 + p2, seed + p2, seed, seed - p1)))} FROM l WHERE n >= 32)",
+        f"v4 AS (SELECT s, x, n, lanes, {mod(' + '.join(turn(f'v{j}', r) for j, r in enumerate((1, 7, 12, 18))))} AS h, {', '.join(f'{mul(turn(mul(f'v{j}', p2), 31), p1)} AS k{j}' for j in range(4))} FROM v)",
+    ]
+    name = "v4"
+    for j in range(4):
+        parts.append(f"m{j} AS (SELECT s, x, n, lanes, {mod(f'xor(h, k{j}) * {u(p1)} + {u(p4)}')} AS h, k0, k1, k2, k3 FROM {name})")
+        name = f"m{j}"
+    parts += [
+        f"h0 AS (SELECT s, x, n, lanes, {mod('h + n::UHUGEINT')} AS h FROM m3 UNION ALL SELECT s, x, n, lanes, {mod(f'{u(seed + p5)} + n::UHUGEINT')} FROM l WHERE n < 32)",
+        f"h1 AS (SELECT s, x, n, list_reduce([h] || list_transform(range(n // 32 * 4 + 1, n // 8 + 1), lambda i: {mul(turn(mul('lanes[i]', p2), 31), p1)}), lambda h, k: {fold('h', 'k', 27, p1, p4)}) AS h FROM h0)",
+        f"h2 AS (SELECT s, x, n, CASE WHEN n % 8 >= 4 THEN {fold('h', mul(number('substr(x, 16 * (n // 8) + 1, 8)', 4), p1), 23, p2, p3)} ELSE h END AS h FROM h1)",
+        f"h3 AS (SELECT s, list_reduce([h] || list_transform(range(n - n % 4, n), lambda i: {mul(number('substr(x, 2 * i + 1, 2)', 1), p5)}), lambda h, k: {mod(turn('xor(h, k)', 11) + f' * {u(p1)}')}) AS h FROM h2)",
+        f"h4 AS (SELECT s, {mul(f'xor(h, h // {u(1 << 33)})', p2)} AS h FROM h3)",
+        f"h5 AS (SELECT s, {mul(f'xor(h, h // {u(1 << 29)})', p3)} AS h FROM h4)",
+        f"h6 AS (SELECT s, CAST(xor(h, h // {u(1 << 32)}) AS UBIGINT) AS h FROM h5)",
+    ]
+    bits = " + ".join(f"CASE WHEN 2 * sum(h >> {i} & 1) > count(*) THEN {1 << i}::UHUGEINT ELSE 0::UHUGEINT END" for i in range(64))
+    parts += [
+        f"f AS (SELECT doc_id, CAST({bits} AS UBIGINT) AS fp FROM g JOIN h6 USING (s) GROUP BY doc_id)",
+        "p AS (SELECT doc_id, coalesce(fp, 0) AS fp FROM w LEFT JOIN f USING (doc_id))",
+        "k AS (SELECT fp, min(doc_id) AS least FROM p GROUP BY fp)",
+        "e AS (SELECT a.fp AS a, b.fp AS b FROM k a, k b WHERE bit_count(CAST(xor(a.fp, b.fp) AS HUGEINT)) <= 4)",
+        "z(a, b) AS (SELECT a, b FROM e UNION SELECT z.a, e.b FROM z JOIN e ON z.b = e.a)",
+        "c AS (SELECT z.a AS fp, min(least) AS component_id FROM z JOIN k ON k.fp = z.b GROUP BY z.a)",
+    ]
+    return "WITH RECURSIVE " + ",\n".join(parts) + "\nSELECT doc_id, lpad(lower(to_hex(fp)), 16, '0') AS fingerprint, component_id FROM p JOIN c USING (fp)"
+
+
+SQL["op1_simhash"] = _simhash_sql()
 SQL["op2_substring_dedup"] = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 win AS (SELECT doc_id, k, array_to_string(w[k:k + 19], ' ') AS s FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 19)) AS k FROM d)),

@@ -68,3 +68,14 @@ def test_decontamination_with_short_and_repeated_items(spark, tmp_path):
     spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(items, "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert same(spark, "op5_decontaminate", str(tmp_path)).count() > 80
+
+
+def test_fingerprints_of_odd_texts(spark, tmp_path):
+    rng = random.Random(4)
+    texts = [None, "", " \t\n", "A b C d", "ÄÖ é 日本 ☃ x", "x" * 500, "one two three four " * 20]
+    texts += [" ".join("".join(rng.choice("abcÄ日Z.") for _ in range(rng.randrange(1, 14))) for _ in range(rng.randrange(1, 30))) for _ in range(80)]
+    texts += [t + " z" for t in texts[7:20]] + texts[5:9]
+    rows = [(i if i % 11 else i + 500, t, "en", "s", 0) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    got = same(spark, "op1_simhash", str(tmp_path))
+    assert got.where("doc_id <> component_id").count() >= 4
