@@ -7,8 +7,8 @@ no other). On a page that names its content so, other words score 0. The weights
 the first by a hash of the id and the markup.
 
 Elements that the HTML standard has for anything but content (menus, footers, side notes, forms, scripts ...) score 0 and are left
-out of the region. So are elements whose role, or one of whose class and id names as a whole, says so (``cookie-notice``, not
-``has-sidebar``), unless nothing would be left: then the names don't count.
+out of the region. So are elements whose role, or one of whose class and id names, read as words, says so (``cookie-notice``,
+``readerComments``, not ``has-sidebar``), unless nothing would be left: then the names don't count.
 
 Markup is read as the standard has it, in time linear in the page: attributes may be quoted or not, names have any case, an end tag
 closes what is open inside its element, ``p`` ends where a block begins, an end tag without a start is nothing. An
@@ -42,8 +42,10 @@ VOID = frozenset({"area", "base", "br", "col", "embed", "hr", "img", "input", "l
 INLINE = frozenset({"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"})
 ROLES = frozenset({"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "form"})
 NAMES = frozenset({"ad", "ads", "adv", "advert", "adverts", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer", "gdpr", "header", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification", "pager", "pagination", "popup", "promo", "promoted", "promotion", "related", "replies", "respond", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "subscription", "toolbar", "widget", "widgets"})
-#: What such a name may have beside it.
-BESIDE = frozenset({"area", "bar", "block", "bottom", "box", "container", "left", "list", "page", "right", "section", "site", "top", "wrap", "wrapper"})
+#: What may follow such a name; what before it turns its sense; what a header may belong to that is content.
+BESIDE = frozenset({"area", "author", "bar", "block", "body", "bottom", "box", "button", "buttons", "container", "inner", "item", "items", "left", "link", "links", "list", "page", "posts", "right", "section", "site", "text", "title", "top", "wrap", "wrapper"})
+TURNED = frozenset({"has", "hide", "is", "no", "not", "show", "with", "without"})
+CONTENT = frozenset({"article", "body", "content", "entry", "main", "post", "story", "text"})
 CORE = frozenset({"article", "main"})
 TOKEN = re.compile(
     r"<!--(?:-?>|.*?(?:--!?>|\Z))"
@@ -54,24 +56,31 @@ TOKEN = re.compile(
 OVER = re.compile(r"^<!---?>|--!?>$")
 NAMED = re.compile(r"(?<![^\s/\"'])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 CLOSER = re.compile(r"</([a-zA-Z][^\s/>]*+)")
-PARTS = re.compile(r"[-_]+")
+PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 def _named(attributes: str) -> bool:
     """Whether a role, a class or an id says that an element isn't content."""
     for m in NAMED.finditer(attributes):
-        value = (m[2] or m[3] or m[4] or "").lower()
+        value = m[2] or m[3] or m[4] or ""
         if m[1].lower() == "role":
-            if value.strip() in ROLES:
-                return True
-            continue
-        for name in value.split():
-            parts = [x for x in PARTS.split(name) if x]
-            if any(x in NAMES for x in parts) and all(x in NAMES or x in BESIDE or x.isdigit() for x in parts):
+            if value.strip().lower() in ROLES:
                 return True
+        elif any(_says_so([x.lower() for x in PARTS.findall(name)]) for name in value.split()):
+            return True
     return False
 
 
+def _says_so(parts: list[str]) -> bool:
+    """Whether a name of these words is that of something else than content: its last word says what it is (reader-comments), or its
+    first one whose part (comment-list)."""
+    if not parts or parts[0] in TURNED:
+        return False
+    if parts[-1] in NAMES:
+        return not (parts[-1] == "header" and parts[0] in CONTENT)
+    return parts[0] in NAMES and all(x in NAMES or x in BESIDE for x in parts)
+
+
 class Page:
     """Items of a page: texts (None for a tag), keys (the tag's name, "" for texts and what has no weight), blocks (whether the tag ends
     one); how many excluded elements, by their kind and by their names, and how many core elements are open at each."""

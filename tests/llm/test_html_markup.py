@@ -73,3 +73,12 @@ def test_linear(unit):
 
     took(1000)
     assert min(took(40_000) for _ in range(2)) < 12 * max(0.01, min(took(10_000) for _ in range(2)))
+
+
+def test_names():
+    gone = ["ad", "ad banner", "AD", "cookie-notice", "comments", "reader-comments", "readerComments", "comment-list", "comment_body-12", "site-footer", "navbarTop", "post-comments", "related-posts", "x share-buttons", "top-ad", "newsletter_signup"]
+    stay = ["content has-sidebar", "with-header", "article-header", "post", "adequate", "bad", "headline", "story-body", "commentary", "no-ads", "main", "header-content", "", "-", "日本"]
+    for name in gone:
+        assert html_text.main_text(f"<article>{BODY}<div class='{name}'>some words of another kind here</div></article>", WEIGHT) == WORDS, name
+    for name in stay:
+        assert html_text.main_text(f"<article>{BODY}<div class='{name}'>some words of another kind here</div></article>", WEIGHT) == WORDS + " some words of another kind here", name
