@@ -42,6 +42,8 @@ PRIOR, LOW, HIGH = 10.0, 3, 8
 MIN_Z, MIN_ODDS, DRIFT = 2.0, 1.5, -0.02
 MAX_E = 1e-2
 FOLDS = 4
+#: Labelled texts that a task counts.
+TEXTS = 400
 #: Words whose scores a worker remembers.
 REMEMBERED = 500_000
 WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)*")
@@ -254,7 +256,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> Model:
     """Words are counted on the executors; the driver gets the terms that may be toxic with their counts, and the segments of each of at
     most max_fit rows."""
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_fit)
+    sample = materialize(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_fit), "toxic-labels")
+    tasks = max(1, -(-sample.count() // TEXTS))
     fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int")
     texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"), fold.alias("fold"))
     rows = materialize(texts.mapInArrow(_marked, "doc_id bigint, text string, toxic int, fold int, a bigint, b bigint"), "toxic-sample")
@@ -262,7 +265,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> Model:
     apart = rows.groupBy("toxic", "a").agg(F.min("doc_id").alias("doc_id"), F.min_by("b", "doc_id").alias("b")).groupBy("toxic", "b").agg(F.min("doc_id").alias("doc_id"))
     single = materialize(rows.join(F.broadcast(apart.select("doc_id").distinct()), "doc_id").select("text", "toxic", "fold"), "toxic-texts")  # at most max_fit ids
     columns = [*_counts("n"), *_counts("m")]
-    counts = single.mapInArrow(_term_counts, "term string, " + ", ".join(f"{c} bigint" for c in columns)).groupBy("term").agg(*(F.sum(c).alias(c) for c in columns))
+    dealt = single.repartition(tasks, "text")
+    counts = dealt.mapInArrow(_term_counts, "term string, " + ", ".join(f"{c} bigint" for c in columns)).groupBy("term").agg(*(F.sum(c).alias(c) for c in columns))
     counts = materialize(counts, "toxic-words")
     sizes = counts.where(~F.col("term").endswith("*")).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in columns)).first()
     toxic, other = (sum(sizes[c] for c in _counts(by)) for by in "nm")
@@ -282,15 +286,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> Model:
     def stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             segments, hits, n = [], [], []
-            for text, f in zip(batch.column(0), batch.column(2).to_pylist(), strict=True):
+            for text, y, f in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 words = WORD.findall(text.as_py().lower())
                 own = parts.value[f].hits(words)
                 segments.append([s for s, _, _ in parts.value[f].segments(own)])
-                hits.append([s for _, s in own])
+                hits.append([s for _, s in own] if y != 1 else [])  # lambda is of the other texts
                 n.append(len(words))
             yield pa.RecordBatch.from_arrays([pa.array(segments, pa.list_(pa.float64())), pa.array(hits, pa.list_(pa.float64())), pa.array(n, pa.int64()), batch.column(1)], names=["segments", "hits", "n", "toxic"])
 
-    seen = single.mapInArrow(stats, "segments array<double>, hits array<double>, n bigint, toxic int").collect()
+    seen = dealt.mapInArrow(stats, "segments array<double>, hits array<double>, n bigint, toxic int").collect()
     if len({r.toxic == 1 for r in seen}) < 2:
         return Model()
     return calibrate(model, [(r.segments, r.hits, r.n, int(r.toxic == 1)) for r in seen])
