@@ -16,7 +16,7 @@ benchmark of over ``broadcast`` shingles is cut into blocks of at most that many
 that is longer alone is a block alone: its size is the only one that isn't bounded, and is linear.
 
 Null or empty texts and items have no shingles and match nothing. Repeated rows give one result. A null id is an id. Items that
-share an id but not the text are items of their own. Of windows with one similarity the first counts, then the nearest print.
+share an id but not the text are items of their own. Further columns, of any names, go with the documents that stay. Of windows with one similarity the first counts, then the nearest print.
 """
 
 from __future__ import annotations

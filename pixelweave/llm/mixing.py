@@ -12,7 +12,7 @@ in which the budget ends, and 256 finer ones in that; only the rows of the last
 never sorted as one group. A document is in the prefix if the order's tokens up to and with it (and its equals) fit.
 
 Null names are the name "" at their level; null text has no tokens; repeated rows are taken together; names without a
-weight get the default weight 1; zero or negative weights get nothing. An empty table gives an empty result.
+weight get the default weight 1; zero or negative weights get nothing. Columns of any names go with the chosen documents. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -251,5 +251,7 @@ def keep(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     Two narrow passes over the texts: one for the cutoffs, of which only counts are shuffled, one that filters.
     """
     cutoffs = fit(with_counts(docs.select("doc_id", "lang", "text"), keep_text=False), labels, **options)
-    safe = docs.select(packed(docs), "text", "lang")
-    return with_counts(safe).where(verdict(cutoffs)).select(*unpacked(docs))
+    others = docs.drop("text")  # the text goes through the workers once
+    passed = with_counts(docs.select(packed(others), "text", "lang")).where(verdict(cutoffs))
+    back = dict(zip(others.columns, unpacked(others), strict=True))
+    return passed.select(*(back.get(c, c) for c in docs.columns))

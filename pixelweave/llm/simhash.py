@@ -21,7 +21,7 @@ candidate pair there that verified links don't join yet is compared. A pair that
 
 A null text has no words; texts without words have fingerprint 0 and are linked like any other. A document with a null id
 gets a component by the other ids (null if there are none). The row that stays of a group is the one with the least (id, hash of
-the text), null ids last, so groups without ids and unlike texts under one id keep a row each. Repeated rows give repeated results; empty in, empty out.
+the text), null ids last, so groups without ids and unlike texts under one id keep a row each. Repeated rows give repeated results; empty in, empty out. Further columns, of any names, go with the rows that stay.
 """
 
 from __future__ import annotations
