@@ -21,8 +21,10 @@ from pyspark.sql import types as T
 
 from .common import HOT_KEYS, join_hot, materialize
 
-#: Rows and bytes of a bucket at most, on average.
+#: Rows and bytes of a bucket at most, on average, while these make up to BUCKETS buckets. Of larger tables buckets are larger, so that
+#: their number stays one that a stage can have, up to LARGEST times as large: what a task can hold.
 BUCKET_ROWS, BUCKET_BYTES = 20_000, 8 << 20
+BUCKETS, LARGEST = 20_000, 16
 SEED = 42
 #: Identical rows that a task makes of one.
 COPIES = 1000
@@ -69,9 +71,10 @@ def scatter(rows: DataFrame, *, id_col: str = "doc_id", shards: int = 24, seed:
     own = F.struct(*(F.col(f"`{c}`") for c in rows.columns))
     key = F.coalesce(F.col(id_col).cast("string"), F.lit("\0"))
     shard = rendezvous(key, shards, seed)
-    buckets = [1] * shards
-    for r in rows.select(shard.alias("s"), _row_bytes(rows).alias("b")).groupBy("s").agg(F.count("*").alias("n"), F.sum("b").alias("b")).collect():
-        buckets[r.s] = max(1, math.ceil(r.n / bucket_rows), math.ceil(r.b / bucket_bytes))
+    sizes = rows.select(shard.alias("s"), _row_bytes(rows).alias("b")).groupBy("s").agg(F.count("*").alias("n"), F.sum("b").alias("b")).collect()  # a row a shard
+    wanted = {r.s: max(r.n / bucket_rows, r.b / bucket_bytes) for r in sizes}
+    larger = min(LARGEST, max(1.0, sum(wanted.values()) / BUCKETS))
+    buckets = [max(1, math.ceil(wanted.get(s, 0) / larger)) for s in range(shards)]
     h, h2 = (F.xxhash64(F.lit(seed), F.lit(what), key, own) for what in ("order", "copy"))
     keyed = rows.select(shard.alias("shard"), rendezvous(key, shards + 1, seed).alias("grown_shard"), h.alias("h"), h2.alias("h2"), own.alias("row"))
     element = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("shard") + 1)
