@@ -97,6 +97,14 @@ def unpacked(docs: DataFrame, name: str = "__row") -> list[Column]:
     return [F.col(name).getField(c).alias(c) for c in docs.columns]
 
 
+def more_partitions(df: DataFrame, each: int, most: int = 200_000) -> list[int]:
+    """The number of partitions for a shuffle of a whole table by the sizes of its files, if it is above the session's; else none, so
+    that Spark may put small ones together."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    wanted = min(most, -(-size // each))
+    return [wanted] if wanted > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else []
+
+
 #: Keys that are joined by broadcast because they hold the most rows: so many at most.
 HOT_KEYS = 10_000
 

@@ -27,9 +27,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import more_partitions, pieces
 
 ROW_GROUP, PAGE = 32 << 20, 256 << 10
+#: Bytes of the input's files that make a file of tokens, where the session's number of partitions would make them larger.
+FILE = 128 << 20
 #: Words of each of the two generations of a worker's cache.
 CACHE_WORDS = 400_000
 SCHEMA = "doc_id bigint, shard int, local_start bigint, local_end bigint, n_tokens bigint, tokens array<int>"
@@ -147,7 +149,8 @@ def write_tokens(docs: DataFrame, path: str, *, tokenizer: str | None = None, en
                 at += int(ends[-1])
 
     order = ["doc_id", "h"]
-    dealt = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).repartitionByRange(*order).sortWithinPartitions(*order)
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    dealt = keyed.repartitionByRange(*more_partitions(docs.select("doc_id", "text"), FILE), *order).sortWithinPartitions(*order)
     options = {"parquet.block.size": ROW_GROUP, "parquet.page.size": PAGE, "parquet.writer.version": "v2", "parquet.enable.dictionary": "true", "compression": "zstd"}
     dealt.select("doc_id", "text").mapInArrow(run, SCHEMA).write.options(**options).parquet(f"{path}/tokens")
     files = spark.read.schema(SCHEMA).parquet(f"{path}/tokens").groupBy("shard").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.count("*").alias("documents"), F.sum("n_tokens").alias("tokens"))

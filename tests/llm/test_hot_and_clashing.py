@@ -50,3 +50,11 @@ def test_scratch_folders_go(spark):
     assert not any("gone-" in x for x in common._written)
     with pytest.raises(Exception, match="PATH_NOT_FOUND|not exist|FileNotFound"):
         gone.count()
+
+
+def test_partitions_by_size(spark, tmp_path):
+    spark.range(200_000).selectExpr("id", "md5(cast(id as string)) t").write.parquet(str(tmp_path / "t"))
+    rows = spark.read.parquet(str(tmp_path / "t"))
+    assert common.more_partitions(rows, 1 << 30) == []
+    (n,) = common.more_partitions(rows, 100_000)
+    assert 50 < n < 200 and common.more_partitions(rows, 1000, most=60) == [60]
