@@ -98,9 +98,11 @@ def unpacked(docs: DataFrame, name: str = "__row") -> list[Column]:
 
 
 def more_partitions(df: DataFrame, each: int, most: int = 200_000) -> list[int]:
-    """The number of partitions for a shuffle of a whole table by the sizes of its files, if it is above the session's; else none, so
+    """The number of partitions for a shuffle of a whole table by the size of its largest source, if it is above the session's; else none, so
     that Spark may put small ones together."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    size = max((x for x in sizes if x < 1 << 60), default=0)  # a plan's own estimate multiplies them; sources that tell no size have a huge one
     wanted = min(most, -(-size // each))
     return [wanted] if wanted > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else []
 

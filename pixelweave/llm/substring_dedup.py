@@ -30,11 +30,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, materialize, mix, pieces, windows_hash, word_hashes
+from .common import as_bytes, materialize, mix, more_partitions, pieces, windows_hash, word_hashes
 from .fm_index import FMIndex
 
 SIZE, GRAM = 20, 8
 SHARD_WORDS, HOT = 400_000, 20_000
+#: Bytes of the input's files whose segments make a partition, where the session's number would make them larger.
+PART = 64 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 SEGMENT = "anchor bigint, seg bigint, key bigint, at bigint"
@@ -166,10 +168,10 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(a), pa.array(k), pa.array(p)], names=["kind", "anchor", "key", "at"])
 
 
-def _sorted_by_anchor(rows: DataFrame) -> DataFrame:
+def _sorted_by_anchor(rows: DataFrame, parts: list[int]) -> DataFrame:
     # rows known to be repeats only pass through, so they are dealt evenly
     deal = F.when(F.col("at").bitwiseAND(F.lit(1)) == 1, F.xxhash64("key", "at")).otherwise(F.col("anchor"))
-    return rows.repartition(deal).sortWithinPartitions("anchor", "seg", "key", "at")
+    return rows.repartition(*parts, deal).sortWithinPartitions("anchor", "seg", "key", "at")
 
 
 def _shard_rows(size: int, shards: int):
@@ -246,22 +248,23 @@ def _search(size: int):
 
 def repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, shard_words: int = SHARD_WORDS, hot: int = HOT) -> DataFrame:
     """docs: unique key and text. Runs of repeated windows: key and at."""
+    many = more_partitions(docs.select("key", "text"), PART)
     rows = docs.select("key", "text").where("text is not null").mapInArrow(_cut(size, gram), SEGMENT)
     kinds = "kind bigint, anchor bigint, key bigint, at bigint"
-    found = materialize(_sorted_by_anchor(rows).mapInArrow(_resolve, kinds), "segments")
+    found = materialize(_sorted_by_anchor(rows, many).mapInArrow(_resolve, kinds), "segments")
     done = [found.where("kind = 0").select("key", "at")]
     first = found.where("kind > 0")
     often = materialize(first.where(F.col("kind") > hot).select("anchor").distinct(), "hot-anchors")
     if not often.isEmpty():  # one window a segment, dealt by its own hash
         split = docs.select("key", "text").join(first.join(often, "anchor", "left_semi").groupBy("key").agg(F.collect_list("at").alias("parts")), "key")
-        again = materialize(_sorted_by_anchor(split.mapInArrow(_windows(size), SEGMENT)).mapInArrow(_resolve, kinds), "hot-windows")
+        again = materialize(_sorted_by_anchor(split.mapInArrow(_windows(size), SEGMENT), many).mapInArrow(_resolve, kinds), "hot-windows")
         done.append(again.where("kind = 0").select("key", "at"))
         first = first.join(often, "anchor", "left_anti").union(again.where("kind > 0"))
     words = first.agg(F.sum(F.shiftright("at", 1).bitwiseAND(F.lit(_MOST)) + size).alias("n")).first().n or 0
     shards = max(1, -(-words // shard_words))
     parts = first.groupBy("key").agg(F.collect_list(F.struct("anchor", "at")).alias("parts"))
     cut = docs.select("key", "text").join(parts, "key").mapInArrow(_shard_rows(size, shards), "shard int, key bigint, start bigint, words array<bigint>")
-    done.append(cut.repartition("shard").sortWithinPartitions("shard").mapInArrow(_search(size), "key bigint, at bigint"))
+    done.append(cut.repartition(*many, "shard").sortWithinPartitions("shard").mapInArrow(_search(size), "key bigint, at bigint"))
     out = done[0]
     for x in done[1:]:
         out = out.union(x)

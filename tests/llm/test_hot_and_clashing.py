@@ -58,3 +58,6 @@ def test_partitions_by_size(spark, tmp_path):
     assert common.more_partitions(rows, 1 << 30) == []
     (n,) = common.more_partitions(rows, 100_000)
     assert 50 < n < 200 and common.more_partitions(rows, 1000, most=60) == [60]
+    joined = rows.join(rows.withColumnRenamed("t", "u"), "id")
+    assert common.more_partitions(joined, 100_000) in ([n], [n - 1], [n + 1], [2 * n]) and common.more_partitions(joined, 1 << 30) == []
+    assert common.more_partitions(spark.createDataFrame(spark.sparkContext.parallelize([(1, "a")]), "id bigint, t string"), 1 << 20) == []
