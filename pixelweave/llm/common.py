@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -125,6 +126,29 @@ def join_hot(left: DataFrame, right: DataFrame, keys: str | list[str], total: in
     return left.join(hot, keys).unionByName(rest)
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError, TypeError):  # another C library
+    _trim = None
+#: What a worker holds from task to task, by the name of its owner: functions that let go of it.
+_held: dict[str, Callable[[], None]] = {}
+
+
+def holds(owner: str, let_go: Callable[[], None]) -> None:
+    """Says that this worker now holds something between tasks of the owner."""
+    _held[owner] = let_go
+
+
+def working(owner: str) -> None:
+    """Called at the start of a task: a worker that now does something else lets go of what others hold in it, and memory that the tasks
+    before have freed goes back to the system."""
+    for other in [x for x in _held if x != owner]:
+        _held.pop(other)()
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """Values of a string column as UTF-8, null as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import pieces, working
 
 MAX_FIT = 5_000
 #: Weight of tags that the labelled pages don't have, and the range of learnt weights.
@@ -277,6 +277,7 @@ def extract(pages: DataFrame, weight: dict[str, float]) -> DataFrame:
     """page_id, url, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("html")
         for batch in batches:
             for piece in pieces(batch, 2):
                 yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array([main_text(x or "", weight) for x in piece.column(2).to_pylist()], pa.string())], names=["page_id", "url", "text"])

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, packed, pieces, unpacked
+from .common import materialize, packed, pieces, unpacked, working
 
 #: Words of a document that passes the base rule, at least.
 MIN_WORDS = 50
@@ -99,6 +99,7 @@ def with_counts(docs: DataFrame, text: str = "text", keep_text: bool = True) ->
     names = [*(columns[i] for i in kept), *COUNTS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("quality")
         for batch in batches:
             for piece in pieces(batch, at, 2 << 20):
                 got = count_texts([x or "" for x in piece.column(at).to_pylist()])

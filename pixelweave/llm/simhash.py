@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import as_bytes, join_hot, materialize, mix, packed, pieces, unpacked
+from .common import as_bytes, join_hot, materialize, mix, packed, pieces, unpacked, working
 from .graph import components
 
 #: Largest bucket that one task compares at once; rows, and bytes of shingle sets, that a task holds.
@@ -132,6 +132,7 @@ def fingerprints(docs: DataFrame, *, width: int = 5, seed: int = 42, sets: bool
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("simhash")
         for batch in batches:
             for piece in pieces(batch, 1, 1 << 20):
                 hashes = [shingle_hashes(x, width, seed) for x in as_bytes(piece.column(1))]
@@ -315,6 +316,7 @@ def _links(radius: int, hot: int, similarity: float | None = None, exact: bool =
         return np.fromiter(map(len, rows[4]), np.int64, len(rows[4]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("simhash")
         kept, held, held_bytes = [], 0, 0
         passed = None  # a hot key of which rows have already been passed on
 

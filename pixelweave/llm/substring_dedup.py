@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, materialize, mix, more_partitions, pieces, windows_hash, word_hashes
+from .common import as_bytes, materialize, mix, more_partitions, pieces, windows_hash, word_hashes, working
 from .fm_index import FMIndex
 
 SIZE, GRAM = 20, 8
@@ -108,6 +108,7 @@ def _words(piece: pa.RecordBatch, column: int):
 
 def _cut(size: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("substrings")
         for batch in batches:
             for piece in pieces(batch, 1, 3 << 20):
                 piece = piece.take(pc.sort_indices(piece.column(0)))

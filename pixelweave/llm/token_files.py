@@ -27,13 +27,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import more_partitions, pieces
+from .common import holds, more_partitions, pieces, working
 
 ROW_GROUP, PAGE = 32 << 20, 256 << 10
 #: Bytes of the input's files that make a file of tokens, where the session's number of partitions would make them larger.
 FILE = 128 << 20
 #: Words of each of the two generations of a worker's cache.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 SCHEMA = "doc_id bigint, shard int, local_start bigint, local_end bigint, n_tokens bigint, tokens array<int>"
 MANIFEST = "shard int, first_id bigint, last_id bigint, documents bigint, tokens bigint, start bigint"
 
@@ -117,6 +117,7 @@ class Encoder:
     def load(cls, content: str) -> Encoder:
         if (key := hash(content)) not in cls._loaded:
             cls._loaded[key] = cls(content)
+        holds("tokens", cls._loaded.clear)
         return cls._loaded[key]
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -137,6 +138,7 @@ def write_tokens(docs: DataFrame, path: str, *, tokenizer: str | None = None, en
     end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("tokens")
         encoder, shard, at = Encoder.load(content.value), TaskContext.get().partitionId(), 0
         for batch in batches:
             for piece in pieces(batch, 1, 2 << 20):
@@ -183,6 +185,7 @@ def checksums(rows: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of rows as read_tokens gives them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("checksums")
         for batch in batches:
             lists = batch.column(3)
             values = np.ascontiguousarray(lists.values.to_numpy(zero_copy_only=False)).astype("<u4", copy=False)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, materialize, mix, pieces, windows_hash, word_hashes
+from .common import as_bytes, materialize, mix, pieces, windows_hash, word_hashes, working
 
 #: Bound of the labelled sample that the model is fitted on.
 MAX_FIT = 20_000
@@ -155,6 +155,7 @@ def held_out():
 
 def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds two least hashes of each text's 3-word shingles; near copies mostly share them."""
+    working("toxicity")
     for batch in batches:
         for piece in pieces(batch, 1):
             found = []

@@ -61,3 +61,15 @@ def test_partitions_by_size(spark, tmp_path):
     joined = rows.join(rows.withColumnRenamed("t", "u"), "id")
     assert common.more_partitions(joined, 100_000) in ([n], [n - 1], [n + 1], [2 * n]) and common.more_partitions(joined, 1 << 30) == []
     assert common.more_partitions(spark.createDataFrame(spark.sparkContext.parallelize([(1, "a")]), "id bigint, t string"), 1 << 20) == []
+
+
+def test_workers_let_go():
+    held = {"a": [1], "b": [2]}
+    common.holds("a", held["a"].clear)
+    common.working("a")
+    assert held == {"a": [1], "b": [2]}
+    common.holds("b", held["b"].clear)
+    common.working("b")
+    assert held == {"a": [], "b": [2]}
+    common.working("c")
+    assert held == {"a": [], "b": []} and not common._held
