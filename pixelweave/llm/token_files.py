@@ -7,7 +7,7 @@ delta-encoded (Parquet format v2). Row groups and pages have set sizes and page
 rows and columns they ask for: metadata without tokens, or the documents that hold a range of positions.
 
 Texts are range-partitioned by id and encoded after that, so that the ids written are never shuffled. Words (whitespace
-separates tokens in the tokenizers this is for) are encoded once per worker and kept in a bounded cache.
+separates tokens in the tokenizers this is for) are encoded once for some MB of text, and their parts kept in a worker's bounded cache.
 
 Null text is empty; each document ends with the end id. Rows with one id keep apart, ordered by the hash of their text;
 null ids come first. Other columns aren't written. An empty table gives an empty dataset.
@@ -16,13 +16,16 @@ null ids come first. Other columns aren't written. An empty table gives an empty
 from __future__ import annotations
 
 import os
+import re
 import string
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,8 +35,10 @@ from .common import holds, more_partitions, pieces, working
 ROW_GROUP, PAGE = 32 << 20, 256 << 10
 #: Bytes of the input's files that make a file of tokens, where the session's number of partitions would make them larger.
 FILE = 128 << 20
-#: Words of each of the two generations of a worker's cache.
-CACHE_WORDS = 250_000
+#: Bytes of text whose distinct words are encoded together.
+PIECE = 4 << 20
+#: Parts of words in a worker's cache; where it would hold more, only those of the latest texts stay. Of a call of the tokenizers library.
+CACHE_WORDS, SOME = 250_000, 1000
 SCHEMA = "doc_id bigint, shard int, local_start bigint, local_end bigint, n_tokens bigint, tokens array<int>"
 MANIFEST = "shard int, first_id bigint, last_id bigint, documents bigint, tokens bigint, start bigint"
 
@@ -44,74 +49,75 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-#: Byte-level vocabularies name printable bytes by their own code point and the others, in order, by 256 and on.
-_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
-BYTE_NAMES = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
+#: Latin letters whose lower-casing is a matter of single letters; the lower-case ones.
+LETTERS = "".join(c for c in map(chr, range(256)) if c.isalpha())
+SMALL = "".join(c for c in LETTERS if c.lower() == c)
 
 
-class Words(dict):
-    """Ids of words as little-endian 32-bit integers; words that aren't there are made, or taken from the older generation."""
-
-    def __init__(self, make, old: dict) -> None:
-        self[""] = b""
-        self.make, self.old = make, old
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.old.get(word)
-        if ids is None:
-            ids = self.make(word, self)
-        self[word] = ids
-        return ids
-
-
-def _latin(word: str) -> bool:
-    try:
-        word.encode("latin-1")
-    except UnicodeEncodeError:
-        return False
-    return True
+def lists_of(ids: list[list[int]]) -> pa.ListArray:
+    cuts = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.fromiter(chain.from_iterable(ids), np.int32, cuts[-1])))
 
 
 class Encoder:
-    """Ids of whole texts, word by word. A word of Latin letters and punctuation after them is made from its two parts; a
-    run of lower-case letters goes to the vocabulary's model at once; any other word takes the tokenizer's whole way. The
-    short ways are taken only if the tokenizer gives the same ids on a probe."""
+    """Ids of whole texts, by their distinct words. A word of Latin letters and punctuation after them has two parts, the letters in lower
+    case and the rest; any other word is one part. Parts that the cache lacks go to the tokenizers library, many a call: runs of
+    letters at once to the vocabulary's model, others the tokenizer's whole way. Words are split and runs of letters taken only if the
+    vocabulary marks the ends of words and the tokenizer gives the same ids on a probe."""
 
     _loaded: dict[int, Encoder] = {}
 
     def __init__(self, content: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(content)
-        self.model = self.tokenizer.model
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.tokenizer, self.runs = Tokenizer.from_str(content), Tokenizer.from_str(content)
+        for each in (self.tokenizer, self.runs):
+            each.no_truncation()
+            each.no_padding()
+        self.runs.normalizer = normalizers.Sequence([])
+        self.runs.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary, suffix = self.tokenizer.get_vocab(), getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
         special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
-        self.marked = {t[0] for t in special}  # case and neighbours matter in special tokens
-        self.ends = "".join(c for c in string.punctuation if c not in self.marked)
+        marked = {t[0] for t in special}  # case and neighbours matter in special tokens
+        self.ends = "".join(c for c in string.punctuation if c not in marked)
         probe = ["abcdefghij", "élève", "straße", "ñandú", "x"]
-        self.short = not any(c.isalpha() for c in self.marked) and all(self.letters(w) == self.whole(w) == self.whole(w[0].upper() + w[1:]) for w in probe) and all(self.whole(f"{w}{c}") == self.whole(w) + self.whole(c) for w in probe for c in (*self.ends, ".)", "!!!", "%%%"))
-        self.words = Words(self.make, {})
+        self.short = bool(self.last.any()) and not any(c.isalpha() for c in marked) and self.letters(probe) == self.wholes(probe) == self.wholes([w[0].upper() + w[1:] for w in probe]) and all(self.whole(f"{w}{c}") == self.whole(w) + self.whole(c) for w in probe for c in (*self.ends, ".)", "!!!", "%%%"))
+        self.names, self.ids = pa.array([], pa.string()), lists_of([])  # the cache
 
     def whole(self, word: str) -> bytes:
         return array("i", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
-    def letters(self, word: str) -> bytes:
-        """A run of lower-case letters: nothing is left to normalize or to split, only bytes to name."""
-        named = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_NAMES)
-        return array("i", [t.id for t in self.model.tokenize(named)]).tobytes()
-
-    def make(self, word: str, words: Words) -> bytes:
-        if self.short:
-            if word.isalpha():
-                low = word.lower()
-                if word.isascii() or _latin(word):  # in which lower-casing is a matter of single letters
-                    return self.letters(low) if low == word else words[low]
-            elif self.marked.isdisjoint(word) and (word.isascii() or _latin(word)):
-                low = word.lower()
-                stem = low.rstrip(self.ends)
-                if stem.isalpha():
-                    return words[stem] + words[low[len(stem) :]]
-        return self.whole(word)
+    def wholes(self, words: list[str]) -> pa.ListArray:
+        return lists_of([x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)])
+
+    def letters(self, words: list[str]) -> pa.ListArray:
+        """Of runs of lower-case letters: nothing is left to normalize or to split, only bytes to name."""
+        ids = np.array(self.runs.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.int32)
+        cuts = np.r_[0, np.flatnonzero(self.last[ids]) + 1].astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(cuts), pa.array(ids)) if len(cuts) == len(words) + 1 else self.wholes(words)
+
+    def made(self, names: pa.Array) -> pa.ListArray:
+        """Of parts: their ids, from the cache or as they are made. The cache then has them."""
+        at = pc.index_in(names, value_set=self.names)
+        new = names.filter(at.is_null())
+        plain = pc.match_substring_regex(new, f"^[{SMALL}]+$") if self.short else pa.array(np.zeros(len(new), bool))
+        runs, others = (new.filter(x).to_numpy(zero_copy_only=False).tolist() for x in (plain, pc.invert(plain)))
+        parts = [f(x[i : i + SOME]) for f, x in ((self.letters, runs), (self.wholes, others)) for i in range(0, len(x), SOME)]
+        known, is_run = at.fill_null(-1).to_numpy().copy(), plain.to_numpy(zero_copy_only=False)
+        known[known < 0] = len(self.ids) + np.where(is_run, np.cumsum(is_run) - 1, len(runs) + np.cumsum(~is_run) - 1)
+        ids = pa.concat_arrays([self.ids, *parts])
+        out = ids.take(pa.array(known))
+        unused = np.ones(len(self.names), bool)
+        unused[at.drop_null().to_numpy()] = False
+        if 0 < unused.sum() <= CACHE_WORDS - len(names):
+            unused = pa.array(unused)
+            self.names, self.ids = pa.concat_arrays([names, self.names.filter(unused)]), pa.concat_arrays([out, self.ids.filter(unused)])
+        else:
+            self.names, self.ids = names, out
+        return out
 
     @classmethod
     def load(cls, content: str) -> Encoder:
@@ -120,14 +126,28 @@ class Encoder:
         holds("tokens", cls._loaded.clear)
         return cls._loaded[key]
 
+    def lists(self, texts: pa.Array, end_id: int | None = None) -> pa.ListArray:
+        """Ids of texts, the end id after those of each."""
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.cast(pa.string())
+        n, cuts = len(words), split.offsets.to_numpy() - split.offsets[0].as_py()
+        heads, tails = words, pa.array([""] * n, pa.string())
+        if self.short:
+            fit, low = pc.match_substring_regex(words, f"^[{LETTERS}]+[{re.escape(self.ends)}]*$"), pc.utf8_lower(words)
+            heads, tails = pc.if_else(fit, pc.ascii_rtrim(low, characters=self.ends), words), pc.if_else(fit, pc.utf8_ltrim(low, characters=SMALL), "")
+        parts = pa.concat_arrays([heads, tails]).dictionary_encode()
+        pairs = self.made(parts.dictionary).take(pa.array(parts.indices.to_numpy().reshape(2, n).T.ravel()))
+        ids = pa.ListArray.from_arrays(pa.array(pairs.offsets.to_numpy()[::2]), pairs.values)  # of each word
+        order = coded.indices.to_numpy()
+        if end_id is not None:
+            ids, order, cuts = pa.concat_arrays([ids, lists_of([[end_id]])]), np.insert(order, cuts[1:], n), cuts + np.arange(len(cuts))
+        every = ids.take(pa.array(order))
+        return pa.ListArray.from_arrays(pa.array(every.offsets.to_numpy()[cuts]), every.values)
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for text in texts:
-            if len(self.words) > CACHE_WORDS:
-                old, self.words = self.words, Words(self.make, self.words)
-                old.old = {}
-            out.append(b"".join(map(self.words.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))))
-        return out
+        """Ids of texts as little-endian 32-bit integers."""
+        return [np.array(x, "<i4").tobytes() for x in self.lists(pa.array(texts, pa.string())).to_pylist()]
 
 
 def write_tokens(docs: DataFrame, path: str, *, tokenizer: str | None = None, end_id: int | None = 2) -> None:
@@ -135,19 +155,15 @@ def write_tokens(docs: DataFrame, path: str, *, tokenizer: str | None = None, en
     spark = docs.sparkSession
     with open(tokenizer or default_tokenizer(), encoding="utf-8") as f:
         content = spark.sparkContext.broadcast(f.read())  # a vocabulary: a few MB
-    end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         working("tokens")
         encoder, shard, at = Encoder.load(content.value), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for piece in pieces(batch, 1, 2 << 20):
-                raw = [x + end for x in encoder.encode([t or "" for t in piece.column(1).to_pylist()])]
-                sizes = np.array([len(x) // 4 for x in raw], np.int64)
-                ends = np.cumsum(sizes)
-                values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(raw))])
-                tokens = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), values)
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(np.full(len(raw), shard, np.int32)), pa.array(at + ends - sizes), pa.array(at + ends), pa.array(sizes), tokens], names=["doc_id", "shard", "local_start", "local_end", "n_tokens", "tokens"])
+            for piece in pieces(batch, 1, PIECE):
+                tokens = encoder.lists(piece.column(1).fill_null(""), end_id)
+                ends = tokens.offsets.to_numpy().astype(np.int64)
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(np.full(len(tokens), shard, np.int32)), pa.array(at + ends[:-1]), pa.array(at + ends[1:]), pa.array(np.diff(ends)), tokens], names=["doc_id", "shard", "local_start", "local_end", "n_tokens", "tokens"])
                 at += int(ends[-1])
 
     order = ["doc_id", "h"]
